@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bradley_terry, exact_dedup
+from quarrymill.llm import bradley_terry, exact_dedup, ngram_join
 
 
 def queries() -> dict:
     return {
         "op2_quality_classifier": bradley_terry.op2_quality_classifier,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 

@@ -101,7 +101,7 @@ class Words:
         short = np.flatnonzero((counts > 0) & (counts < k))
         for i in short:
             a, e = b[i], b[i + 1]
-            s[a] = (h[a:e] * step[: e - a]).sum(dtype=np.uint64) + np.uint64(e - a) * np.uint64(0x632BE59BD9B4E019)
+            s[a] = (int((h[a:e] * step[: e - a]).sum(dtype=np.uint64)) + int(e - a) * 0x632BE59BD9B4E019) % (1 << 64)
             full[a] = True
         per = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
         return mix(s[full]), np.concatenate([[0], np.cumsum(per)])
