@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bradley_terry, exact_dedup, line_blocks, ngram_join, raking, rank_profiles
+from quarrymill.llm import bradley_terry, exact_dedup, gru_lm, line_blocks, ngram_join, raking, rank_profiles
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_html_extraction": line_blocks.op3_html_extraction,
         "op4_mix_to_targets": raking.op4_mix_to_targets,
         "op6_language_id": rank_profiles.op6_language_id,
+        "op7_gru_lm": gru_lm.op7_gru_lm,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
