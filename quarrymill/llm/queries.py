@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bradley_terry, exact_dedup, gru_lm, line_blocks, ngram_join, raking, rank_profiles
+from quarrymill.llm import bradley_terry, decontamination, exact_dedup, gru_lm, line_blocks, line_dedup, ngram_join, raking, rank_profiles
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_quality_classifier": bradley_terry.op2_quality_classifier,
         "op3_html_extraction": line_blocks.op3_html_extraction,
         "op4_mix_to_targets": raking.op4_mix_to_targets,
         "op6_language_id": rank_profiles.op6_language_id,
         "op7_gru_lm": gru_lm.op7_gru_lm,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
