@@ -188,19 +188,28 @@ def _postings(docs: DataFrame, k: int, ranks, bits: int, num: int, den: int) ->
     return docs.mapInArrow(run, _POSTING)
 
 
-def _edges_of_tokens(runs: DataFrame) -> DataFrame:
+def _edges_of_tokens(found: DataFrame) -> DataFrame:
+    """Edges that tie the runs of each shingle together, and those that tasks found before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], []]
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b in batches:
-            for c, name in zip(cols, ("token", "low", "high", "class"), strict=True):
-                c.append(b.column(name).to_numpy())
+            early = b.column("kind").to_numpy() == 1
+            token, low, high, cls = (b.column(name).to_numpy() for name in ("token", "low", "high", "class"))
+            u.append(token[early])
+            v.append(low[early])
+            for c, x in zip(cols, (token, low, high, cls), strict=True):
+                c.append(x[~early])
         if cols[0]:
-            _, (u, v) = _runs(*(np.concatenate(c) for c in cols))
-            a, b = _distinct_edges(u, v)
-            for i in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["u", "v"])
+            _, (s, t) = _runs(*(np.concatenate(c) for c in cols))
+            u.append(s)
+            v.append(t)
+        a, b = _distinct_edges(np.concatenate(u), np.concatenate(v))
+        for i in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["u", "v"])
 
-    return runs.mapInArrow(run, "u long, v long")
+    return found.mapInArrow(run, "u long, v long")
 
 
 def _link(sets: list[np.ndarray], left: int, num: int, den: int, same: bool):
@@ -309,11 +318,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranks = spark.sparkContext.broadcast(_sketch(profile, SKETCH_BITS))
     classes = cut(ids.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")))
 
-    found = cut(_postings(read, k, ranks, SKETCH_BITS, num, den))
-    tokens = found.where("kind = 0").select("token", "low", "high", "class")
-    parts = max(width(spark), -(-tokens.count() // 2_000_000))
-    near = _edges_of_tokens(tokens.repartition(parts, "token"))
-    near = near.unionByName(found.where("kind = 1").select(F.col("token").alias("u"), F.col("low").alias("v")))
+    # about a quarter of the shingles are in prefixes; a task gets 2 million of them
+    shingles = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(width(spark), -(-shingles // 8_000_000))
+    near = _edges_of_tokens(_postings(read, k, ranks, SKETCH_BITS, num, den).repartition(parts, "token"))
     groups = cut(connected_components(near).withColumnRenamed("node", "class").withColumnRenamed("label", "comp"))
 
     member = classes.join(groups.hint("merge"), "class").where("rep is not null")
