@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bradley_terry, decontamination, exact_dedup, gru_lm, line_blocks, line_dedup, ngram_join, raking, rank_profiles
+from quarrymill.llm import bradley_terry, decontamination, exact_dedup, gru_lm, license_scan, line_blocks, line_dedup, ngram_join, raking, rank_profiles
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_classifier": bradley_terry.op2_quality_classifier,
         "op3_html_extraction": line_blocks.op3_html_extraction,
         "op4_mix_to_targets": raking.op4_mix_to_targets,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_language_id": rank_profiles.op6_language_id,
         "op7_gru_lm": gru_lm.op7_gru_lm,
         "op8_line_dedup": line_dedup.op8_line_dedup,
