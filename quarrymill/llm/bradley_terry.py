@@ -194,5 +194,17 @@ def quality_classifier(
     return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"), "raw")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects, all columns as they are; rows pass through, nothing is joined."""
+    ranker = train(docs, labels.where(~held_out(id_col, 5, 0)), id_col, text_col, label_col, max_train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, text_col):
+                yield part.filter(pa.array(ranker.probability(features(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -112,6 +112,22 @@ def _factors_spread(cells: DataFrame, targets: Mapping[str, Mapping | None], kee
     return factor.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("probability"))
 
 
+def _cells(docs: DataFrame, source_col: str, lang_col: str, text_col: str, topic: Column | None) -> list[Column]:
+    return [F.col(source_col).cast("string").alias("_source"), F.col(lang_col).cast("string").alias("_lang"), (topic if topic is not None else topic_of(F.col(text_col))).alias("_topic"), token_count(F.col(text_col)).alias("_tokens")]
+
+
+def _with_probability(rows: DataFrame, id_col: str, targets, keep_share: float, seed: int, max_local_cells: int) -> DataFrame:
+    """``rows`` (with _source, _lang, _topic, _tokens) and _weight, _probability, _sampled."""
+    cells = cut(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")).toDF(*DIMENSIONS, "tokens"))
+    n = cells.count()
+    factors = (_factors_here if n <= max_local_cells else _factors_spread)(cells, targets or {}, keep_share)
+    side = factors.select(*[F.col(c).alias(f"_f_{c}") for c in DIMENSIONS], F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
+    on = [F.col(f"_{c}").eqNullSafe(F.col(f"_f_{c}")) for c in DIMENSIONS]
+    out = rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, on, "left").fillna(0.0, ["_weight", "_probability"])
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(_STEPS)) / F.lit(float(_STEPS))
+    return out.withColumn("_sampled", u < F.col("_probability"))
+
+
 def mix_to_targets(
     docs: DataFrame,
     targets: Mapping[str, Mapping | None] | None = None,
@@ -137,20 +153,15 @@ def mix_to_targets(
     alone have probability 0. Null ids are sampled alike. An empty table gives an empty result. Columns other
     than the named ones are not read.
     """
-    targets = targets or {}
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
-        (topic if topic is not None else topic_of(F.col(text_col))).alias("topic"), token_count(F.col(text_col)).alias("n_tokens"),
-    )
-    rows = cut(rows)  # the texts are read and counted once
-    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    n = cells.count()
-    factors = (_factors_here if n <= max_local_cells else _factors_spread)(cells, targets, keep_share)
-    side = factors.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], "weight", "probability")
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DIMENSIONS]
-    out = rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, on, "left")
-    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_STEPS)) / F.lit(float(_STEPS))
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(0.0)).alias("probability"), (u < F.coalesce("probability", F.lit(0.0))).alias("sampled"))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), *_cells(docs, source_col, lang_col, text_col, topic)))  # texts are read once
+    out = _with_probability(rows, "doc_id", targets, keep_share, seed, max_local_cells)
+    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+
+
+def sample_to_targets(docs: DataFrame, targets: Mapping[str, Mapping | None] | None = None, keep_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 0, max_local_cells: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``mix_to_targets`` samples, all columns as they are; only the table of cells is joined."""
+    rows = docs.select("*", *_cells(docs, source_col, lang_col, text_col, topic))
+    return _with_probability(rows, id_col, targets, keep_share, seed, max_local_cells).where("_sampled").select(*docs.columns)
 
 
 def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
