@@ -49,7 +49,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         distinct = np.bincount(ds[at], minlength=n).astype(float)
         np.maximum.at(top, ds[at], np.diff(np.append(at, len(h))))
     upper = byte[:, 65:91].sum(1)
-    lines = byte[:, 10] + (size > 0)
+    lines = byte[:, 10] + 1
     out[:, 0] = upper / some
     out[:, 1] = byte[:, 48:58].sum(1) / some
     out[:, 2] = byte[:, 128:].sum(1) / some
