@@ -87,11 +87,11 @@ def save_paths(paths: DataFrame, seen: DataFrame) -> DataFrame:
     return paths.join(seen.select("path"), "path", "left_anti").unionByName(now.select(*paths.columns))
 
 
-def scan(store: Store, root: str, extractor: Callable[[bytes, str], str] = source.decode, postprocess: Callable[[Tables, DataFrame], Tables] | None = None, summary_model: str | None = None) -> DataFrame:
+def scan(store: Store, root: str, extractor: Callable[[bytes, str], str] = source.decode, postprocess: Callable[..., Tables] | None = None, summary_model: str | None = None) -> DataFrame:
     """Take in what is new or changed under ``root``; the result counts outcomes (outcome, n).
 
     Unchanged, fully processed files are skipped, after their digest was compared. A file that cannot be read
-    keeps an earlier text. ``postprocess`` gets the tables and the keys of the texts to derive anew.
+    keeps an earlier text. ``postprocess`` gets the tables, the keys of the texts to derive anew, and ``Store.stage`` for what it reads again.
     """
     spark, tables = store.spark, store.tables()
     listing = source.list_files(spark, root)
@@ -108,19 +108,24 @@ def scan(store: Store, root: str, extractor: Callable[[bytes, str], str] = sourc
     )
     documents = tables["documents"].join(new_documents, "document_id", "left_anti").unionByName(new_documents)
     documents = documents.unionByName(failed.join(had, "document_id", "left_semi").join(documents, "document_id", "left_anti").select("document_id", "extension", F.lit("extracted").alias("status")))
+    # what is gone is left out before anything is derived
+    paths = save_paths(tables["paths"], work)
+    paths = store.stage("paths", paths.where(~under(F.col("path"), root)).unionByName(paths.join(marked.select("path"), "path", "left_semi").where(under(F.col("path"), root)).select(*paths.columns)))
+    documents = store.stage("documents", documents.join(paths.select("document_id").distinct(), "document_id", "left_semi"))
+    tables = tables | {"documents": documents, "paths": paths} | cascade(tables, documents)
     old = tables["texts"]
     fresh = good.select("document_id", F.lit(EXTRACTOR).alias("extractor"), "extracted_text", clean(F.col("extracted_text")).alias("cleaned_text"), content_id(F.col("extracted_text")).alias("content_hash"))
-    kept = old.select(*KEY, F.col("content_hash").alias("_h"), F.col("light_keyword_count").alias("_n"))
-    fresh = fresh.join(kept, KEY, "left").withColumn("same", F.coalesce(F.col("_h") == F.col("content_hash"), F.lit(False)))
+    fresh = fresh.join(old.select(*KEY, F.col("content_hash").alias("_h"), F.col("light_keyword_count").alias("_n")), KEY, "left").withColumn("same", F.coalesce(F.col("_h") == F.col("content_hash"), F.lit(False)))
+    fresh = fresh.persist()
     altered = fresh.where("not same and _h is not null").select(*KEY)
     texts = old.join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh.withColumn("light_keyword_count", F.when(F.col("same"), F.col("_n"))).select(*old.columns))
-    state = tables | {"documents": documents, "texts": texts, "paths": save_paths(tables["paths"], work)} | drop_derivatives(tables, altered)
+    state = tables | {"texts": store.stage("texts", texts)} | drop_derivatives(tables, altered)
     if postprocess:
-        state = postprocess(state, fresh.select(*KEY))
+        state = postprocess(state, fresh.select(*KEY), store.stage)
     counts = marked.join(read.select("document_id", "status"), "document_id", "left")
     counts = counts.select(F.when(F.col("outcome") == "unchanged", "skipped").when(F.col("status") == "ok", "extracted").otherwise("failed").alias("outcome"))
     counts = [tuple(r) for r in counts.groupBy("outcome").count().collect()]
-    store.commit(collect_garbage(state, marked.select("path"), root))
-    marked.unpersist()
-    read.unpersist()
+    store.commit(state)
+    for df in (marked, read, fresh):
+        df.unpersist()
     return spark.createDataFrame(counts, "outcome string, n long")

@@ -13,22 +13,26 @@ from quarrymill.store import Store, Tables, processing_text
 KEY = ["document_id", "extractor"]
 
 
-def postprocess(tables: Tables, fresh: DataFrame) -> Tables:
-    """Chunks of texts that lack this version's, light keywords and provisional summaries of ``fresh`` texts."""
-    bodies = processing_text(tables["texts"]).join(fresh.select(*KEY).distinct(), KEY, "left_semi")
+def postprocess(tables: Tables, fresh: DataFrame, stage: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Tables:
+    """Chunks of texts that lack this version's, light keywords and provisional summaries of ``fresh`` texts.
+
+    ``stage`` writes a table that others are made of, so that each is computed once.
+    """
+    keys = fresh.select(*KEY).distinct()
+    bodies = processing_text(tables["texts"]).join(keys, KEY, "left_semi")
     lacking = chunking.missing_chunks(bodies, tables["chunks"])
-    keys = lacking.select(*KEY)
-    chunks = tables["chunks"].join(keys, KEY, "left_anti").unionByName(chunking.chunk_texts(lacking).select(*tables["chunks"].columns))
-    found = keywords.aggregate_keywords(keywords.chunk_keywords(chunks.join(fresh.select(*KEY).distinct(), KEY, "left_semi"), keywords.LightExtractor))
-    old = tables["keywords"].join(fresh.select(*KEY).distinct().withColumn("model_name", F.lit(keywords.LIGHT_MODEL)), [*KEY, "model_name"], "left_anti")
-    links = old.unionByName(found.select(*old.columns))
-    counts = found.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    mark = fresh.select(*KEY).distinct().withColumn("_fresh", F.lit(True))
-    texts = tables["texts"].join(mark, KEY, "left").join(counts, KEY, "left")
+    anew = lacking.select(*KEY)
+    chunks = stage("chunks", tables["chunks"].join(anew, KEY, "left_anti").unionByName(chunking.chunk_texts(lacking).select(*tables["chunks"].columns)))
+    found = keywords.aggregate_keywords(keywords.chunk_keywords(chunks.join(keys, KEY, "left_semi"), keywords.LightExtractor))
+    old = tables["keywords"].join(keys.withColumn("model_name", F.lit(keywords.LIGHT_MODEL)), [*KEY, "model_name"], "left_anti")
+    links = stage("keywords", old.unionByName(found.select(*old.columns)))
+    light = links.where(F.col("model_name") == keywords.LIGHT_MODEL).join(keys, KEY, "left_semi")
+    counts = light.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    texts = tables["texts"].join(keys.withColumn("_fresh", F.lit(True)), KEY, "left").join(counts, KEY, "left")
     texts = texts.withColumn("light_keyword_count", F.when(F.col("_fresh"), F.coalesce("_n", F.lit(0))).otherwise(F.col("light_keyword_count"))).select(*tables["texts"].columns)
-    provisional = summaries.provisional_summaries(bodies, found)
+    provisional = summaries.provisional_summaries(bodies, light)
     return tables | {
-        "texts": texts, "chunks": chunks, "keywords": links, "embeddings": tables["embeddings"].join(keys, KEY, "left_anti"),
+        "texts": texts, "chunks": chunks, "keywords": links, "embeddings": tables["embeddings"].join(anew, KEY, "left_anti"),
         "summaries": summaries.replace_provisional(tables["summaries"], provisional),
     }
 

@@ -18,6 +18,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._staged: dict[int, tuple[DataFrame, str]] = {}
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -28,7 +29,7 @@ class Store:
     def _manifest(self) -> dict[str, str]:
         if not self.exists():
             return {}
-        rows = self.spark.read.option("wholetext", True).text(f"{self.path}/CURRENT").collect()
+        rows = self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).collect()
         return dict(line.split("\t") for line in rows[0][0].splitlines()) if rows else {}
 
     def read(self, name: str) -> DataFrame:
@@ -36,20 +37,35 @@ class Store:
         where = self._manifest().get(name)
         if where is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{where}")
-        wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+        return self._at(name, where)
 
     def tables(self) -> Tables:
         return {name: self.read(name) for name in SCHEMAS}
 
+    def _at(self, name: str, where: str) -> DataFrame:
+        df = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{where}")
+        wanted = self._schema(name)
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+
+    def _schema(self, name: str):
+        return self.spark.createDataFrame([], SCHEMAS[name]).schema
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a snapshot that the next commit may point to, and go on from its files: plans stay short."""
+        where = f"{name}/{uuid.uuid4().hex}"
+        df.select(*self._schema(name).names).write.parquet(f"{self.path}/{where}")
+        staged = self._at(name, where)
+        self._staged[id(staged)] = (staged, where)
+        return staged
+
     def commit(self, tables: Tables) -> None:
-        """Write the given tables as new snapshots, then swap the pointer; the others stay."""
+        """Point to snapshots of the given tables, written unless staged already; the others stay."""
         manifest = self._manifest()
         for name, df in tables.items():
-            where = f"{name}/{uuid.uuid4().hex}"
-            df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.path}/{where}")
-            manifest[name] = where
+            if id(df) not in self._staged:
+                df = self.stage(name, df)
+            manifest[name] = self._staged[id(df)][1]
+        self._staged.clear()
         text = "\n".join(f"{k}\t{v}" for k, v in sorted(manifest.items()))
         new = self._path(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
         out = self._fs.create(new)
