@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.cluster import HOT_SHARE, cut, semi_by_key
+from quarrymill.llm.cluster import HOT_SHARE, cut, written
 from quarrymill.llm.exact_dedup import fold_ascii
 
 #: Lines of fewer characters are left alone.
@@ -32,29 +32,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.length("line") >= MIN_CHARS)
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, "[\\x09-\\x0D ]+"), lambda t: t != ""))
+def _split(line: Column) -> Column:
+    """Words of a line; a split at one literal sign is the fast one, and other white space is rare."""
+    for c in "\t\x0b\f\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """Twice the log2 of each counter of words, a byte each (64 kB in all, so a literal serves)."""
-    words = docs.select(F.explode(F.split(fold_ascii(F.col("text")), "[\\x09-\\x0D ]+")).alias("w"))
-    counted = words.select(F.pmod(F.xxhash64("w"), F.lit(SKETCH)).cast("int").alias("k")).groupBy("k").count()
-    held = bytearray(SKETCH)
-    for r in counted.select("k", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("r")).toArrow().to_pylist():
+def _ranks(lines: DataFrame) -> Column:
+    """Twice the log2 of each counter of words, as an array that a plan holds once (``SKETCH`` small numbers)."""
+    words = lines.select(F.explode(F.transform(_split(F.col("line")), lambda t: F.pmod(F.xxhash64(t), F.lit(SKETCH)).cast("int"))).alias("k"))
+    held = [0] * SKETCH
+    for r in words.groupBy("k").count().select("k", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("r")).toArrow().to_pylist():
         held[r["k"]] = min(127, r["r"])
-    return F.lit(held)
+    return F.from_json(F.lit("[" + ",".join(map(str, held)) + "]"), "array<int>")
 
 
 def _ordered(line: Column, ranks: Column) -> Column:
-    """Words as longs, the rarest first: 7 bits of rank, 56 of hash."""
+    """Distinct words as longs, the rarest first: 7 bits of rank, 56 of hash."""
 
-    def word(t: Column) -> Column:
-        h = F.xxhash64(t)
-        rank = F.ascii(F.substring(ranks, F.pmod(h, F.lit(SKETCH)).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def word(h: Column) -> Column:
+        return F.shiftleft(F.get(ranks, F.pmod(h, F.lit(SKETCH)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(_words(line), word))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_split(line), lambda t: F.xxhash64(t)), word)))
 
 
 def _parity(words: Column) -> Column:
@@ -79,8 +79,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     num, den = threshold
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranks = _ranks(docs)
     lines = _lines(docs)
+    ranks = _ranks(lines)
     light = cut(lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("h")))
     total = light.count()
     firsts = cut(light.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("k")))
@@ -90,12 +90,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = lines.withColumn("h", F.unhex(F.md5("line"))).join(F.broadcast(hot), "h", "left").where("hf is null or (hf.doc_id = doc_id and hf.line_no = line_no)")
     sets = once.select("doc_id", "line_no", _ordered(F.col("line"), ranks).alias("w")).select("doc_id", "line_no", "w", F.size("w").alias("n"), _parity(F.col("w")).alias("par"))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    posts = cut(sets.select("doc_id", "line_no", "n", "par", F.posexplode(F.slice("w", F.lit(1), prefix)).alias("pos", "word")))
+    posts, drop_posts = written(sets.select("doc_id", "line_no", "n", "par", F.posexplode(F.slice("w", F.lit(1), prefix)).alias("pos", "word")))
 
     # a word that one line holds matches nothing; the earliest line of each other word is its centre
     centre = F.min(F.struct("doc_id", "line_no", "n", "par", "pos")).alias("c")
-    heads = cut(posts.groupBy("word").agg(centre, F.count(F.lit(1)).alias("k")).where("k > 1").select("word", "c"))
-    shared = cut(posts.join(heads.hint("merge"), "word"))
+    heads = posts.groupBy("word").agg(centre, F.count(F.lit(1)).alias("k")).where("k > 1").select("word", "c")
+    shared, drop_shared = written(posts.join(heads.hint("merge"), "word"))
+    drop_posts()
     is_later = F.struct("c.doc_id", "c.line_no") < F.struct("doc_id", "line_no")
     first = shared.where(is_later & _filters(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"), F.col("par"), F.col("c.par"), num, den))
     first = first.select("doc_id", "line_no", F.col("c.doc_id").alias("d2"), F.col("c.line_no").alias("l2")).distinct()
@@ -112,7 +113,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second = many.select("a.doc_id", "a.line_no", F.col("b.doc_id").alias("d2"), F.col("b.line_no").alias("l2")).distinct()
     more = _verified(lines, second, num, den)
     near = found.unionByName(more).withColumn("exact", F.lit(False))
-    return near.unionByName(later.withColumn("exact", F.lit(True))).groupBy("doc_id", "line_no").agg(F.max("exact").alias("exact"))
+    gone = cut(near.unionByName(later.withColumn("exact", F.lit(True))).groupBy("doc_id", "line_no").agg(F.max("exact").alias("exact")))
+    drop_shared()
+    return gone
 
 
 def _verified(lines: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -122,7 +125,7 @@ def _verified(lines: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFra
     n = ids.count()
     small = n <= 400_000
     side = F.broadcast(ids) if small else ids.hint("merge")
-    words = lines.join(side, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", F.transform(_words(F.col("line")), lambda t: F.xxhash64(t)).alias("w")).dropDuplicates(["doc_id", "line_no"])
+    words = lines.join(side, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", F.array_distinct(F.transform(_split(F.col("line")), lambda t: F.xxhash64(t))).alias("w")).dropDuplicates(["doc_id", "line_no"])
     words = cut(words)
     other = words.select(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"), F.col("w").alias("v"))
     both = pairs.join(words.hint("merge"), ["doc_id", "line_no"]).join(other.hint("merge"), ["d2", "l2"])
