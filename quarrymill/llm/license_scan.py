@@ -45,7 +45,9 @@ TEMPLATES = [
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits (dots and hyphens inside them kept)."""
     bare = F.regexp_replace(fold_ascii(text), r"[^\p{L}\p{N}\s.-]+|[.-]+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.-]+", " ")
-    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+    for c in "\t\n\x0b\f\r":
+        bare = F.replace(bare, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(bare, " "), "")  # a split at one literal sign is the fast one
 
 
 def shingles(toks: Column) -> Column:
@@ -59,19 +61,18 @@ def _masks() -> list[int]:
     return [int.from_bytes(hashlib.sha256(b"band%d" % i).digest()[:8], "big", signed=True) for i in range(BANDS)]
 
 
-def bands(sh: Column) -> Column:
-    """(window, key) for each window and band."""
+def banded(df: DataFrame, sh: str) -> DataFrame:
+    """A row for each window and band: the other columns of ``df``, window, key (the band's least shingle under its mask)."""
     per = WINDOW - SHINGLE + 1
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(sh) - per) / STRIDE).cast("int")))
-
-    def least(part: Column, mask: int) -> Column:
-        return F.array_min(F.transform(part, lambda x: x.bitwiseXOR(F.lit(mask))))
+    starts = F.when(F.size(sh) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(sh) - per) / STRIDE).cast("int"))))
+    parts = F.transform(starts, lambda j: F.struct(j.alias("window"), F.slice(sh, j * STRIDE + 1, per).alias("part")))
+    rest = [c for c in df.columns if c != sh]
 
-    def keys(w: Column) -> Column:
-        return F.array(*[F.struct(w["window"].alias("window"), F.xxhash64(F.lit(b), least(w["part"], m)).alias("key")) for b, m in enumerate(_masks())])
+    def least(mask: int) -> Column:
+        return F.array_min(F.transform("part", lambda x: x.bitwiseXOR(F.lit(mask))))
 
-    parts = F.transform(starts, lambda j: F.struct(j.alias("window"), F.slice(sh, j * STRIDE + 1, per).alias("part")))
-    return F.when(F.size(sh) > 0, F.flatten(F.transform(parts, keys)))
+    rows = df.select(*rest, F.explode(parts).alias("_w")).select(*rest, F.col("_w.window").alias("window"), F.col("_w.part").alias("part"))
+    return rows.select(*rest, "window", F.explode(F.array(*map(least, _masks()))).alias("key"))
 
 
 def _with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -98,12 +99,12 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     # of each template, the windows at every place, so that one lies within half a stride of a text's window
     per = WINDOW - SHINGLE + 1
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("tsh") - per))
-    cuts = known.select("template", F.explode(F.transform(places, lambda j: F.slice("tsh", j + 1, per))).alias("part"))
-    keyed = cut(cuts.select("template", F.explode(bands(F.col("part"))).alias("b")).select("template", F.col("b.key").alias("key")).distinct())
+    cuts = known.select("template", F.explode(F.transform(places, lambda j: F.slice("tsh", j + 1, per))).alias("tpart"))
+    keyed = cut(banded(cuts, "tpart").select("template", "key").distinct())
     n_keys = keyed.count()
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = _with_shingles(read, "text", "sh")
-    met = sets.select("doc_id", F.explode(bands(F.col("sh"))).alias("b")).select("doc_id", F.col("b.window").alias("window"), F.col("b.key").alias("key"))
+    met = banded(sets, "sh")
     met = cut(met.join(F.broadcast(keyed) if n_keys <= BROADCAST_ROWS else keyed, "key").select("doc_id", "template", "window").distinct())
     ids = cut(met.select("doc_id").distinct())
     own = _with_shingles(semi_by_key(read, ids, "doc_id"), "text", "sh")
