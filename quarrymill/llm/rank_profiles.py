@@ -59,7 +59,10 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def grams(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the 1- to 3-grams of a sequence; no gram is a single 0."""
+    """Codes and counts of the 1- to 3-grams of a sequence; no gram is a single 0.
+
+    A gram that begins with a 0 has the code of what follows, so "_b" and "b" count as one gram of a language.
+    """
     if not len(seq):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     alphabet = np.flatnonzero(np.bincount(seq)) if seq.max() < 0x3000 else np.unique(seq)
