@@ -23,8 +23,10 @@ VOCABULARY = CLASSES * PER_CLASS
 HIDDEN = 32
 #: Most frequent tokens whose counts are sent to all tasks; the rest are joined.
 SHARED = 200_000
-#: Tokens that the driver learns the first weights from; then tasks go on with 1 of TRAIN_EVERY training texts.
-WARM_TOKENS, WARM_ROUNDS, TRAIN_EVERY = 300_000, 3, 16
+#: Tokens that the driver learns the first weights from; then tasks go on with every training text.
+WARM_TOKENS, WARM_ROUNDS = 300_000, 3
+#: Tokens that a task lays out at a time, and the lanes it deals them to: enough that no long text is left alone in its lane.
+TRAIN_TOKENS, TRAIN_LANES = 4_000_000, 128
 _SHAPES = 96
 _END = np.int64(0x5E4D0F7A11C3B29)
 _WINDOW = 24
@@ -88,6 +90,8 @@ class Network:
 
     seed: int = 11
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    #: Tokens of the corpus that tasks trained on, after the first weights.
+    seen: int = 0
 
     def __post_init__(self) -> None:
         if self.p:
@@ -246,8 +250,8 @@ class Trainer:
             total, count = total + lp.sum(), count + len(lp)
             dout = np.zeros((t1 - t0, live, HIDDEN), np.float32)
             dout[there] = dflat
-            grads["u"], grads["b"] = np.zeros_like(p["u"]), np.zeros_like(p["b"])
             dx, at = np.zeros((t1 - t0, live, 3 * HIDDEN), np.float32), np.zeros((t1 - t0, live), np.int64)
+            dg = np.empty(dx.shape, p["u"].dtype)
             dh = np.zeros((live, HIDDEN), np.float32)
             for k in range(t1 - t0 - 1, -1, -1):
                 last_k, prev, z, r, q, n, new = kept[k]
@@ -255,11 +259,12 @@ class Trainer:
                 dn = dh * (1 - z) * (1 - n * n)
                 dq, dr = dn * r, dn * q * r * (1 - r)
                 dz = dh * (prev - n) * z * (1 - z)
-                g = np.concatenate([dz, dr, dq], 1)
-                grads["u"] += prev.T @ g
-                grads["b"] += dq.sum(0)
-                dx[k], at[k] = np.concatenate([dz, dr, dn], 1), last_k
+                g = dg[k]
+                g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = dz, dr, dq
+                dx[k, :, : 2 * HIDDEN], dx[k, :, 2 * HIDDEN :], at[k] = g[:, : 2 * HIDDEN], dn, last_k
                 dh = np.where(new[:, None], np.float32(0), dh * z + g @ p["u"].T)
+            grads["u"] = np.concatenate([x[1] for x in kept]).T @ dg.reshape(-1, 3 * HIDDEN)
+            grads["b"] = dg[:, :, 2 * HIDDEN :].sum((0, 1))
             order = np.argsort(at.ravel(), kind="stable")
             rows, first = np.unique(at.ravel()[order], return_index=True)
             grads["x"] = np.zeros_like(p["x"])
@@ -318,6 +323,21 @@ def _joined(held):
     return [x[0] for x in held], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), bounds
 
 
+def _texts_to_learn(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and text bounds of about ``TRAIN_TOKENS`` tokens at a time; hashes are not held."""
+    held, bounds = [], [np.zeros(1, np.int64)]
+    for batch in batches:
+        for _, data, offsets in slices(batch, "text"):
+            h, s, b = tokens_of(data, offsets)
+            held.append(words.ids(h, s))
+            bounds.append(b[1:] + bounds[-1][-1])
+            if bounds[-1][-1] > TRAIN_TOKENS:
+                yield np.concatenate(held), np.concatenate(bounds)
+                held, bounds = [], [np.zeros(1, np.int64)]
+    if held:
+        yield np.concatenate(held), np.concatenate(bounds)
+
+
 def _trained(train: DataFrame, words: Vocabulary, counts: np.ndarray, shape_mass: np.ndarray) -> Network:
     net = Network()
     net.start_from(counts, shape_mass)
@@ -345,9 +365,9 @@ def _trained(train: DataFrame, words: Vocabulary, counts: np.ndarray, shape_mass
         p, own = shared.value
         local = Trainer(Network(p={k: v.copy() for k, v in p.items()}), rate=0.002)
         seen = 0
-        for _, h, s, b in _gathered(batches, 1 << 21):
-            local.fit(own.ids(h, s), b, own.end)
-            seen += len(h)
+        for ids, bounds in _texts_to_learn(batches, own):
+            local.fit(ids, bounds, own.end, lanes=TRAIN_LANES)
+            seen += len(ids)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), *(pa.array([(v.astype(np.float64) * seen).astype(np.float32).tobytes()], pa.binary()) for v in local.net.p.values())], ["n", *local.net.p])
 
@@ -355,10 +375,10 @@ def _trained(train: DataFrame, words: Vocabulary, counts: np.ndarray, shape_mass
         return pa.table({"n": pa.array([int(np.sum(table.column("n").to_numpy()))])} | {k: pa.array([sum(np.frombuffer(c.as_buffer(), np.float32).astype(np.float64) for c in table.column(k)).astype(np.float32).tobytes()], pa.binary()) for k in net.p})
 
     kinds = "n long, " + ", ".join(f"{k} binary" for k in net.p)
-    part = by_hash.where(F.pmod(F.shiftright("_r", 7), F.lit(TRAIN_EVERY)) == 0).select("text").repartition(min(width(spark), 24))
-    got = part.mapInArrow(run, kinds).groupBy((F.spark_partition_id() % 6).alias("q")).applyInArrow(mean, kinds).toArrow().to_pylist()
+    # as the table lies, so no text is shuffled; many small parts are taken together, as short runs hardly move the weights
+    got = train.select("text").coalesce(width(spark)).mapInArrow(run, kinds).groupBy((F.spark_partition_id() % 6).alias("q")).applyInArrow(mean, kinds).toArrow().to_pylist()
     if got:
-        n = sum(r["n"] for r in got)
+        n = net.seen = sum(r["n"] for r in got)
         for k, v in net.p.items():
             total = sum(np.frombuffer(r[k], np.float32).astype(np.float64) for r in got)
             net.p[k] = (total / n).astype(np.float32).reshape(v.shape)

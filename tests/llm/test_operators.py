@@ -287,6 +287,15 @@ def test_lm_scores(spark, empty):
     assert gru_lm.lm_scores(empty).count() == 0
 
 
+def test_network_learns_from_every_text(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(1, 40), 50) for _ in range(300)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    none = np.zeros(0, np.int64)
+    net = gru_lm._trained(d, gru_lm.Vocabulary(none, none, none, gru_lm.VOCABULARY), none, np.ones(gru_lm._SHAPES))
+    assert net.seen == sum(len(words(t)) + 1 for t in texts)
+
+
 def test_probabilities_sum_to_one():
     net = gru_lm.Network()
     h = np.random.default_rng(2).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
