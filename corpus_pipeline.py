@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm.bradley_terry import keep_good
 from quarrymill.llm.cluster import cut, semi_by_key, written
 from quarrymill.llm.decontamination import decontaminate
-from quarrymill.llm.line_dedup import line_dedup
+from quarrymill.llm.line_dedup import EVERY_LINE, line_dedup
 from quarrymill.llm.ngram_join import ngram_jaccard_join
 from quarrymill.llm.raking import sample_to_targets
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line matches; n_chars follows the text."""
-    out = line_dedup(docs)
+    out = line_dedup(docs, min_chars=EVERY_LINE)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

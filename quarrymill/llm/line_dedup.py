@@ -19,17 +19,17 @@ from pyspark.sql import functions as F
 from quarrymill.llm.cluster import HOT_SHARE, cut, written
 from quarrymill.llm.exact_dedup import fold_ascii
 
-#: Lines of fewer characters are left alone.
-MIN_CHARS = 30
+#: Lines of fewer characters are left alone by default; the query and the pipeline let every line with a word take part.
+MIN_CHARS, EVERY_LINE = 30, 1
 #: Counters of the rarity sketch: a fixed size, whatever the corpus.
 SKETCH = 1 << 16
 NUM, DEN = 3, 4
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (A-Z folded) of each line that is long enough."""
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, line_no, line (A-Z folded) of each line that is long enough and holds a word."""
     rows = docs.select("doc_id", F.posexplode(F.split(fold_ascii(F.col("text")), "\n")).alias("line_no", "line"))
-    return rows.where(F.length("line") >= MIN_CHARS)
+    return rows.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x09-\x0D ]"))
 
 
 def _split(line: Column) -> Column:
@@ -68,18 +68,18 @@ def _filters(n: Column, m: Column, i: Column, j: Column, a: Column, b: Column, n
     return (F.lit(num) * F.greatest(n, m) <= F.lit(den) * F.least(n, m)) & (F.lit(num + den) * left >= need) & (F.lit(num + den) * F.bit_count(a.bitwiseXOR(b)) <= F.lit(den - num) * (n + m))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (NUM, DEN)) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (NUM, DEN), min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no) of the lines that an earlier line matches, with ``exact``: that line is equal but for case.
 
     Lines are split at line feeds and number from 0. A line matches with Jaccard similarity of its set of words
     (hashed to 56 bits; A-Z folded) at least ``threshold``; the earlier line counts whether or not it goes itself.
-    Lines under ``MIN_CHARS`` characters neither go nor match. Null and empty texts have no such lines. Null ids are
+    Lines under ``min_chars`` characters and blank ones neither go nor match. Null and empty texts have no such lines. Null ids are
     left out. Rows that repeat an id and a line number are one line to those after them. An empty table gives an
     empty result. Only the named columns are read.
     """
     num, den = threshold
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = _lines(docs)
+    lines = _lines(docs, min_chars)
     ranks = _ranks(lines)
     light = cut(lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("h")))
     total = light.count()
@@ -133,13 +133,13 @@ def _verified(lines: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFra
     return both.where(F.lit(den) * common >= F.lit(num) * (F.size("w") + F.size("v") - common)).select("doc_id", "line_no").distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (NUM, DEN)) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (NUM, DEN), min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text of its repeated lines taken out, all other columns as they are.
 
     A document of which every line goes keeps an empty text. Texts without a repeated line, null ones among them,
     stay as they are, as do rows with a null id. See ``repeated_lines`` for what a repeated line is.
     """
-    gone = repeated_lines(docs, id_col, text_col, threshold)
+    gone = repeated_lines(docs, id_col, text_col, threshold, min_chars)
     lists = cut(gone.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("line_no").alias("_gone")))
     n = lists.count()
     joined = docs.join(F.broadcast(lists) if n <= 400_000 else lists.hint("merge"), F.col(id_col).cast("long") == F.col("_d"), "left")
@@ -150,7 +150,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, lines_removed (their numbers in order), n_kept_chars, kept_sha256 (of the text that stays) for each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = repeated_lines(docs)
+    gone = repeated_lines(docs, min_chars=EVERY_LINE)
     lists = cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines_removed")))
     n = lists.count()
     joined = docs.join(F.broadcast(lists) if n <= 400_000 else lists.hint("merge"), "doc_id", "left")

@@ -134,6 +134,19 @@ def test_line_dedup(docs, texts, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    """Query and pipeline stage: short lines go when they repeat, exactly or nearly; blank ones stay."""
+    import corpus_pipeline
+    from quarrymill.llm.line_dedup import op8_line_dedup
+
+    texts = ["All rights reserved.\n\nPage\nred green blue cyan", "all rights reserved.\n\n  \nred green blue\nPages", "  \nAll rights\nPage\n" + " " * 40, " " * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {0: [], 1: [0, 3], 2: [2], 3: []}
+    assert {r["doc_id"]: r["lines_removed"] for r in op8_line_dedup(spark, str(tmp_path)).collect()} == gone
+    out = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(texts)}
+
+
 def test_decontamination(spark, docs, empty):
     item = "Tom Baker sells 12 boxes of apples, then 7 kg of pears, and asks how much Tom Baker has left after 12 days of trade."
     bench = spark.createDataFrame([(1, item), (2, "short item of five words"), (3, None), (4, "1 2 3 4 5 6 7 8 9 10 11 12"), (None, item)], "item_id long, text string")
