@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from quarrymill.llm.cluster import BROADCAST_ROWS, cut, semi_by_key
 
 WINDOW = 8
-#: Document windows start at every STRIDE-th token, the item's at each: a common run of WINDOW + STRIDE - 1 tokens is always met.
-STRIDE = 4
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.3
 #: Slot marks, of the private use area; what follows a mark in a token is its filler.
@@ -44,10 +42,10 @@ def template(text: Column) -> Column:
     return F.regexp_replace(text, rf"([{NAME}-{UNIT}])\S*", "$1")
 
 
-def _windows(toks: Column, size: int, stride: int) -> Column:
-    """Hashes of windows of ``size`` tokens at every ``stride``-th place."""
-    places = F.when(F.size(toks) >= size, F.sequence(F.lit(0), F.floor((F.size(toks) - size) / stride).cast("int")))
-    return F.transform(places, lambda j: F.xxhash64(F.slice(toks, j * stride + 1, size)))
+def _windows(toks: Column, size: int) -> Column:
+    """Hashes of windows of ``size`` tokens at every place, so that what coverage counts is also what is looked for."""
+    places = F.when(F.size(toks) >= size, F.sequence(F.lit(0), F.size(toks) - size))
+    return F.transform(places, lambda j: F.xxhash64(F.slice(toks, j + 1, size)))
 
 
 def _numbered(toks: Column, size: Column | int, out: str) -> Column:
@@ -75,19 +73,16 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     plain = F.size(F.filter("part", lambda t: ~t.rlike(f"^[{NAME}-{UNIT}]")))
     windows = cut(windows.where(plain >= F.greatest(F.lit(1), F.least(F.lit(MIN_LITERALS), F.col("size") - 1))).drop("part"))
     sizes = [r["size"] for r in windows.select("size").distinct().limit(WINDOW).collect()]
-    short = [r["n"] + r["size"] - 1 for r in items.where(F.col("n") < STRIDE).select("n", "size").distinct().limit(WINDOW * STRIDE).collect()]
-    # items too short for the stride's promise are looked for at every place
-    stride = {s: (1 if s < WINDOW or any(x < WINDOW + STRIDE - 1 for x in short) else STRIDE) for s in sizes}
 
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     toks = read.select("doc_id", tokens(template(marked(F.col("text")))).alias("toks"))
     if sizes:
-        hashes = F.array_distinct(F.flatten(F.array(*[F.coalesce(_windows(F.col("toks"), s, stride[s]), F.array().cast("array<bigint>")) for s in sorted(sizes)])))
+        hashes = F.array_distinct(F.flatten(F.array(*[F.coalesce(_windows(F.col("toks"), s), F.array().cast("array<bigint>")) for s in sorted(sizes)])))
     else:
         hashes = F.array().cast("array<bigint>")
     known = cut(windows.select("h").distinct())
     met = semi_by_key(toks.select("doc_id", F.explode(hashes).alias("h")), known, "h").select("doc_id").distinct()
-    met = cut(met)
+    met = cut(met).select(F.col("doc_id").alias("doc_id"))  # a name of its own, as Spark cannot tell it from the table's in the join below
 
     # the documents met are read once more, now with all their windows and the fillers of their slots
     own = semi_by_key(read, met, "doc_id").select("doc_id", marked(F.col("text")).alias("m")).select("doc_id", tokens(F.col("m")).alias("own"), tokens(template(F.col("m"))).alias("toks"))

@@ -164,6 +164,16 @@ def test_decontamination(spark, docs, empty):
     assert benchmark_matches(empty, bench).count() == 0 and benchmark_matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_at_every_alignment(spark):
+    """A 17-token item whose 11th word is another leaves three windows of ten, wherever it stands in the document."""
+    item = [f"term{chr(97 + i)}" for i in range(17)]
+    other = " ".join([*item[:10], "changed", *item[11:]])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    d = spark.createDataFrame([(k, "pad " * k + other) for k in range(8)], "doc_id long, text string")
+    got = benchmark_matches(d, bench).where("contaminated").collect()
+    assert sorted((r["doc_id"], r["windows"], r["item_windows"]) for r in got) == [(k, 3, 10) for k in range(8)]
+
+
 def test_license_scan(spark, empty):
     rng = random.Random(2)
     named = {t: text for t, _, text in license_scan.TEMPLATES}
