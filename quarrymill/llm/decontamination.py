@@ -39,7 +39,28 @@ def tokens(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Marked text with the fillers taken out."""
-    return F.regexp_replace(text, rf"([{NAME}-{UNIT}])\S*", "$1")
+    return F.regexp_replace(text, rf"([{NAME}-{UNIT}])[^\s\x85\xa0]*", "$1")  # up to where tokens end, so places agree with the marked text's
+
+
+def _needed(size: Column | int) -> Column:
+    """Plain tokens that let a window match with other fillers; one of fewer matches with its own fillers only."""
+    return F.greatest(F.lit(1), F.least(F.lit(MIN_LITERALS), (F.lit(size) if isinstance(size, int) else size) - 1))
+
+
+def _verbatim_places(toks: Column, size: int) -> Column:
+    """Places of the windows with too few plain tokens, from the places of the slots: those where ``many`` slots lie within ``size`` tokens."""
+    many = size - max(1, min(MIN_LITERALS, size - 1)) + 1
+    slots = F.filter(F.transform(toks, lambda t, i: F.when(t.isin(NAME, NUMBER, UNIT), i)), lambda i: i.isNotNull())
+
+    def around(places: Column) -> Column:
+        firsts = F.when(F.size(places) >= many, F.sequence(F.lit(0), F.size(places) - many))
+        first, last = lambda k: F.get(places, k), lambda k: F.get(places, k + (many - 1))
+        near = F.filter(firsts, lambda k: last(k) - first(k) < size)
+        return F.transform(near, lambda k: F.sequence(F.greatest(F.lit(0), last(k) - (size - 1)), F.least(first(k), F.size(toks) - size)))
+
+    # the slots are found once, as the only element of an array
+    found = F.get(F.transform(F.array(slots), around), F.lit(0))
+    return F.when(F.size(toks) >= size, F.array_distinct(F.flatten(found)))
 
 
 def _windows(toks: Column, size: int) -> Column:
@@ -48,10 +69,17 @@ def _windows(toks: Column, size: int) -> Column:
     return F.transform(places, lambda j: F.xxhash64(F.slice(toks, j + 1, size)))
 
 
-def _numbered(toks: Column, size: Column | int, out: str) -> Column:
-    size = F.lit(size) if isinstance(size, int) else size
+def _verbatim(own: Column, places: Column, size: int) -> Column:
+    return F.transform(places, lambda j: F.xxhash64(F.slice(own, j + 1, size)))
+
+
+def _numbered(toks: Column, size: int) -> Column:
     places = F.when(F.size(toks) >= size, F.sequence(F.lit(0), F.size(toks) - size))
-    return F.transform(places, lambda j: F.struct(j.alias("at"), F.xxhash64(F.slice(toks, j + 1, size)).alias("h"))).alias(out)
+    return F.transform(places, lambda j: F.struct(j.alias("at"), F.xxhash64(F.slice(toks, j + 1, size)).alias("h")))
+
+
+def _numbered_verbatim(own: Column, places: Column, size: int) -> Column:
+    return F.transform(places, lambda j: F.struct(j.alias("at"), F.xxhash64(F.slice(own, j + 1, size)).alias("h")))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -61,46 +89,60 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     is), ``coverage`` is their share of the item's, ``slots`` the distinct slots filled in them. ``contaminated``:
     consistent and with ``coverage`` at least ``min_coverage``.
 
-    Items of fewer than 8 tokens are one window of all of them. Windows need 4 plain tokens (all but one in
-    shorter items, one at least), so tables of numbers do not match each other. Null and empty texts on either
+    Items of fewer than 8 tokens are one window of all of them. Windows of under 4 plain tokens (all but one in
+    shorter items, one at least) match with equal fillers only, so tables of other numbers do not match each other.
+    If the share of the item's other windows is the greater one, ``windows``, ``item_windows`` and ``coverage`` are
+    of those alone: they are all that a document with other fillers can hold. Null and empty texts on either
     side match nothing. Repeated items are reported each; rows that repeat a document id count as one document.
     Null ids match nothing. An empty table gives an empty result. Only the named columns are read.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), marked(F.col(item_text_col)).alias("m"))
     items = items.select("item_id", tokens(F.col("m")).alias("own"), tokens(template(F.col("m"))).alias("toks")).where(F.size("toks") > 0)
     items = cut(items.withColumn("size", F.least(F.lit(WINDOW), F.size("toks"))).withColumn("n", F.size("toks") - F.col("size") + 1))
-    windows = items.select("item_id", "size", "n", "own", "toks", F.explode(_numbered(F.col("toks"), F.col("size"), "w")).alias("w")).select("item_id", "size", "n", F.col("w.at").alias("ipos"), F.col("w.h").alias("h"), F.slice("own", F.col("w.at") + 1, F.col("size")).alias("ifill"), F.slice("toks", F.col("w.at") + 1, F.col("size")).alias("part"))
-    plain = F.size(F.filter("part", lambda t: ~t.rlike(f"^[{NAME}-{UNIT}]")))
-    windows = cut(windows.where(plain >= F.greatest(F.lit(1), F.least(F.lit(MIN_LITERALS), F.col("size") - 1))).drop("part"))
+    part = lambda j: F.slice("toks", j + 1, F.col("size"))
+    fill = lambda j: F.slice("own", j + 1, F.col("size"))
+    free = lambda j: F.size(F.filter(part(j), lambda t: ~t.isin(NAME, NUMBER, UNIT))) >= _needed(F.col("size"))
+    every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(j.alias("ipos"), free(j).alias("free"), F.when(free(j), F.xxhash64(part(j))).otherwise(F.xxhash64(fill(j))).alias("h"), fill(j).alias("ifill")))
+    windows = items.select("item_id", "size", "n", every.alias("w")).withColumn("n_free", F.size(F.filter("w", lambda x: x["free"])))
+    windows = cut(windows.select("item_id", "size", "n", "n_free", F.explode("w").alias("w")).select("item_id", "size", "n", "n_free", "w.*"))
     sizes = [r["size"] for r in windows.select("size").distinct().limit(WINDOW).collect()]
 
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    toks = read.select("doc_id", tokens(template(marked(F.col("text")))).alias("toks"))
-    if sizes:
-        hashes = F.array_distinct(F.flatten(F.array(*[F.coalesce(_windows(F.col("toks"), s), F.array().cast("array<bigint>")) for s in sorted(sizes)])))
-    else:
-        hashes = F.array().cast("array<bigint>")
+    both = lambda rows: rows.select("doc_id", marked(F.col("text")).alias("m")).select("doc_id", "m", tokens(template(F.col("m"))).alias("toks")).select("*", *[_verbatim_places(F.col("toks"), s).alias(f"at{s}") for s in sorted(sizes)])
+    some = F.lit(False)
+    for s in sizes:
+        some = some | (F.size(f"at{s}") > 0)
+    toks = both(read).withColumn("own", F.when(some, tokens(F.col("m"))))
+    none = F.array().cast("array<bigint>")
+    parts = [F.coalesce(x, none) for s in sorted(sizes) for x in (_windows(F.col("toks"), s), _verbatim(F.col("own"), F.col(f"at{s}"), s))]
+    hashes = F.array_distinct(F.flatten(F.array(*parts))) if parts else none
     known = cut(windows.select("h").distinct())
     met = semi_by_key(toks.select("doc_id", F.explode(hashes).alias("h")), known, "h").select("doc_id").distinct()
     met = cut(met).select(F.col("doc_id").alias("doc_id"))  # a name of its own, as Spark cannot tell it from the table's in the join below
 
     # the documents met are read once more, now with all their windows and the fillers of their slots
-    own = semi_by_key(read, met, "doc_id").select("doc_id", marked(F.col("text")).alias("m")).select("doc_id", tokens(F.col("m")).alias("own"), tokens(template(F.col("m"))).alias("toks"))
-    every = F.flatten(F.array(*[F.coalesce(_numbered(F.col("toks"), s, "x"), F.array().cast("array<struct<at:int,h:bigint>>")) for s in sorted(sizes)])) if sizes else F.array().cast("array<struct<at:int,h:bigint>>")
+    own = both(semi_by_key(read, met, "doc_id")).withColumn("own", tokens(F.col("m")))
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    parts = [F.coalesce(x, none) for s in sorted(sizes) for x in (_numbered(F.col("toks"), s), _numbered_verbatim(F.col("own"), F.col(f"at{s}"), s))]
+    every = F.flatten(F.array(*parts)) if parts else none
     at = own.select("doc_id", "own", F.explode(every).alias("w")).select("doc_id", F.col("w.at").alias("dpos"), F.col("w.h").alias("h"), F.slice("own", F.col("w.at") + 1, WINDOW).alias("dfill"))
     n_windows = windows.count()
-    side = windows.select("item_id", "size", "n", "ipos", "h", "ifill")
+    side = windows.select("item_id", "size", "n", "n_free", "free", "ipos", "h", "ifill")
     pairs = at.join(F.broadcast(side) if n_windows <= BROADCAST_ROWS // 4 else side, "h")
     slots = F.filter(F.zip_with("ifill", F.slice("dfill", 1, F.size("ifill")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"].rlike(f"^[{NAME}-{UNIT}]"))
-    pairs = cut(pairs.select("doc_id", "item_id", "n", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"), slots.alias("slots")))
+    pairs = cut(pairs.select("doc_id", "item_id", "n", "n_free", "free", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"), slots.alias("slots")))
     key = ["doc_id", "item_id", "shift"]
     fills = pairs.select(*key, F.explode("slots").alias("s")).select(*key, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     odd = fills.groupBy(*key, "a").agg((F.min("b") != F.max("b")).alias("odd")).groupBy(*key).agg(F.max("odd").alias("odd"), F.count(F.lit(1)).alias("slots"))
     runs = pairs.drop("slots").join(odd, key, "left").withColumn("ok", ~F.coalesce("odd", F.lit(False)))
-    by_window = runs.groupBy("doc_id", "item_id", "n", "ipos").agg(F.max("ok").alias("ok"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"))
-    got = by_window.groupBy("doc_id", "item_id", "n").agg(F.max("ok").alias("consistent"), F.sum(F.col("ok").cast("long")).alias("fit"), F.count(F.lit(1)).alias("all"), F.max("slots").alias("slots"))
-    count = F.when(F.col("consistent"), F.col("fit")).otherwise(F.col("all"))
-    got = got.select("doc_id", "item_id", count.alias("windows"), F.col("n").cast("long").alias("item_windows"), (count / F.col("n")).alias("coverage"), "slots", "consistent")
+    by_window = runs.groupBy("doc_id", "item_id", "n", "n_free", "free", "ipos").agg(F.max("ok").alias("ok"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"))
+    total = lambda of: F.sum(of.cast("long"))
+    ok, free = F.col("ok"), F.col("free")
+    got = by_window.groupBy("doc_id", "item_id", "n", "n_free").agg(F.max("ok").alias("consistent"), total(ok).alias("fit"), total(ok & free).alias("fit_free"), F.count(F.lit(1)).alias("all"), total(free).alias("all_free"), F.max("slots").alias("slots"))
+    count, count_free = (F.when(F.col("consistent"), F.col(a)).otherwise(F.col(b)) for a, b in (("fit", "all"), ("fit_free", "all_free")))
+    by_free = count_free * F.col("n") > count * F.col("n_free")
+    got = got.select("doc_id", "item_id", F.when(by_free, count_free).otherwise(count).alias("windows"), F.when(by_free, F.col("n_free")).otherwise(F.col("n")).cast("long").alias("item_windows"), "slots", "consistent")
+    got = got.select("doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "slots", "consistent")
     return got.withColumn("contaminated", F.col("consistent") & (F.col("coverage") >= min_coverage))
 
 

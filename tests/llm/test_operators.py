@@ -174,6 +174,14 @@ def test_decontamination_at_every_alignment(spark):
     assert sorted((r["doc_id"], r["windows"], r["item_windows"]) for r in got) == [(k, 3, 10) for k in range(8)]
 
 
+def test_decontamination_of_slots(spark):
+    """Items of few plain tokens are found verbatim, and by their other windows where those can match."""
+    bench = spark.createDataFrame([(1, "What is 12 times 7?"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "how many apples are left in the box if 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 go")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Say: what is 12 times 7? Quickly."), (2, "what is 13 times 7?"), (3, "a 1 2 3 4 5 6 7 8 9 10 11 12 b"), (4, "so how many apples are left in the box if 31 2 3 4 5 6 7 38 go"), (5, "0 2 4 6 8 10 12 14 16 18 20 22")], "doc_id long, text string")
+    got = benchmark_matches(d, bench).where("contaminated").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 2), (4, 3)}
+
+
 def test_license_scan(spark, empty):
     rng = random.Random(2)
     named = {t: text for t, _, text in license_scan.TEMPLATES}
