@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.cluster import BROADCAST_ROWS, cut
+from quarrymill.llm.cluster import BROADCAST_ROWS, cut, written
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Raking ends when all ratios are this near to 1, or after so many rounds; wherever it runs.
+ROUNDS, TOLERANCE = 200, 1e-9
 #: Hash values of ids are compared with probabilities in this many steps.
 _STEPS = 1 << 52
 
@@ -33,7 +35,7 @@ def token_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def rake(mass: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def rake(mass: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Factors of cells such that their weighted masses meet each marginal; ``index`` gives each cell's value by dimension."""
     w = mass.astype(float).copy()
     for _ in range(rounds):
@@ -83,32 +85,48 @@ def _factors_here(cells: DataFrame, targets: Mapping[str, Mapping | None], keep_
     return cells.sparkSession.createDataFrame(data, f"{kinds}, weight double, probability double")
 
 
-def _factors_spread(cells: DataFrame, targets: Mapping[str, Mapping | None], keep_share: float, rounds: int = 30) -> DataFrame:
+def _factors_spread(cells: DataFrame, targets: Mapping[str, Mapping | None], keep_share: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The same where there are too many cells for the driver: a round is an aggregate and a join for each dimension."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cut(cells.withColumn("w", F.col("tokens").cast("double")))
-    for k in range(rounds):
+    wants = {}
+    for name in DIMENSIONS:
+        values = cells.where("tokens > 0").select(F.col(name).alias("_v")).distinct()
+        given = targets.get(name)
+        if given:
+            shares = spark.createDataFrame([(v if v is None else str(v), max(0.0, float(s))) for v, s in given.items()], "_g string, _s double")
+            values = values.join(shares, F.col("_v").eqNullSafe(F.col("_g")), "left").select("_v", F.coalesce("_s", F.lit(0.0)).alias("_share"))
+        else:
+            values = values.withColumn("_share", F.lit(1.0))
+        values = cut(values)
+        n, whole = values.agg(F.count(F.lit(1)), F.sum("_share")).first()
+        wants[name] = values.select("_v", (F.col("_share") / whole if whole else F.lit(1.0 / max(1, n))).alias("_share"))
+    now, drop = written(cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double")))
+    for _ in range(rounds):
+        worst, step = 0.0, now
         for name in DIMENSIONS:
-            have = now.groupBy(name).agg(F.sum("w").alias("_have"))
-            if targets.get(name):
-                given = spark.createDataFrame([(str(v), float(s)) for v, s in targets[name].items() if v is not None], "v string, s double")
-                have = have.join(given, F.col(name) == F.col("v"), "left").withColumn("_share", F.coalesce("s", F.lit(0.0))).drop("v", "s")
-                whole = have.agg(F.sum("_share")).first()[0] or 1.0
-                have = have.withColumn("_share", F.col("_share") / whole)
-            else:
-                have = have.withColumn("_share", F.lit(1.0 / max(1, have.count())))
-            have = have.withColumnRenamed(name, "_v")
-            now = now.join(have, F.col(name).eqNullSafe(F.col("_v"))).withColumn("w", F.when(F.col("_have") > 0, F.col("w") * F.col("_share") * total / F.col("_have")).otherwise(0.0)).drop("_v", "_have", "_share")
-        if k % 3 == 2:
-            now = cut(now)
-    factor = cut(now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)))
+            have = step.groupBy(F.col(name).alias("_n")).agg(F.sum("w").alias("_have"))
+            ratio = F.when(F.col("_have") > 0, F.col("_share") * total / F.col("_have")).otherwise(1.0)
+            ratios = cut(have.join(wants[name], F.col("_n").eqNullSafe(F.col("_v"))).select("_n", F.when(F.col("_have") > 0, F.abs(ratio - 1)).alias("_off"), ratio.alias("_ratio")))
+            worst = max(worst, ratios.agg(F.max("_off")).first()[0] or 0.0)
+            step = step.join(ratios.drop("_off"), F.col(name).eqNullSafe(F.col("_n"))).withColumn("w", F.col("w") * F.col("_ratio")).drop("_n", "_ratio")
+        before, (now, drop_next) = drop, written(step)
+        before()  # a round's table is read by the next alone
+        drop = drop_next
+        if worst < tolerance:
+            break
+    fitted = now.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], "w")
+    factor = cells.join(fitted, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DIMENSIONS], "left")
+    factor = cut(factor.select(*DIMENSIONS, "tokens", F.coalesce(F.col("w") / F.col("tokens"), F.lit(0.0)).alias("weight")))
+    drop()
+    # the kept mass grows with the scale, ever slower, so these steps approach from below and each caps a cell or ends
     scale = keep_share
-    for _ in range(40):
+    while True:
         got, room = factor.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * scale) * F.col("tokens")), F.sum(F.when(F.col("weight") * scale < 1, F.col("weight") * F.col("tokens")).otherwise(0.0))).first()
-        if not room or abs((got or 0) - keep_share * total) <= 1e-9 * max(1, total):
+        more = (keep_share * total - got) / room if room else 0.0
+        if more <= 1e-12 * scale:
             break
-        scale += (keep_share * total - got) / room
+        scale += more
     return factor.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("probability"))
 
 

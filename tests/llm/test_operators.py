@@ -279,6 +279,17 @@ def test_mixing(spark, empty):
     assert raking.mix_to_targets(empty).count() == 0
 
 
+def test_raking_as_steps_gives_the_same(spark):
+    """A sparse table that needs over 30 rounds, with capped cells, a null, a value without tokens and one without a share."""
+    cells = [("a", "x", "p", 900), ("a", "y", "p", 40), ("b", "y", "p", 500), ("b", "x", "q", 40), ("c", "y", "q", 300), ("c", "x", "q", 90), ("d", "y", "q", 20), ("d", "x", "p", 9), (None, "x", "p", 9), (None, "y", "q", 70), ("e", "y", "q", 0)]
+    d = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1)
+    targets = {"source": {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.1, None: 0.1, "none": 0.4}, "topic": {"p": 2, "q": 1}}
+    here, spread = ({tuple(r)[:3]: (r["weight"], r["probability"]) for r in f(d, targets, 0.6).collect()} for f in (raking._factors_here, raking._factors_spread))
+    assert set(here) == set(spread) and any(p == 1 for _, p in here.values()) and any(p < 1 for _, p in here.values())
+    for k, v in here.items():
+        assert np.allclose(v, spread[k], rtol=1e-8, atol=1e-12), (k, v, spread[k])
+
+
 def test_gradients():
     """Backpropagation against finite differences of the loss."""
     net = gru_lm.Network(seed=3)
