@@ -261,7 +261,7 @@ def _cut_sql(where: str, n: int) -> str:
 
 def _cut_chunks(spark: SparkSession, sf_dir: str, where: str, n: int) -> DataFrame:
     rows = base(spark, sf_dir).where(where).select("document_id", F.lit("plain").alias("extractor"), F.col("text").alias("body")).dropDuplicates(["document_id"]).where("length(body) > 0")
-    places = F.explode(F.sequence(F.lit(0), F.least(F.lit(399), F.floor((F.length("body") - 1) / n).cast("int")))).alias("chunk_index")
+    places = F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / n).cast("int"))).alias("chunk_index")
     return rows.select("document_id", "extractor", "body", places).select("document_id", "extractor", "chunk_index", content_id(F.substring(F.col("body"), F.col("chunk_index") * n + 1, F.lit(n))).alias("content_hash"))
 
 

@@ -35,3 +35,12 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["chunk_stats", "extractive_summary", "embed_chunks", "clean_documents"])
 def test_runs(spark, name):
     assert catalogue.queries()[name](spark, str(DATA)).count() > 0
+
+
+def test_merge_chunks_to_the_end_of_long_texts(spark, tmp_path):
+    """Chunks of a text in the target only (500 characters) and of one in the source only (400), past the 400th."""
+    rows = [(1, "".join(f"{i:07d}" for i in range(30_000))), (6, "".join(f"{i:08d}" for i in range(25_000)))]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["merge_chunks"](spark, str(tmp_path)).collect()
+    ends = sorted(max(r["chunk_index"] for r in got if r["document_id"] == d) for d in {r["document_id"] for r in got})
+    assert ends == [210_000 // 500 - 1, 200_000 // 400 - 1] and len(got) == 420 + 500
