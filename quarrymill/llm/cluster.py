@@ -30,7 +30,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the files, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # a checkpoint keeps the names that Spark gives the columns of ``df``, and a join of the two could not tell them apart
+    return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:

@@ -4,133 +4,266 @@ A line is the set of its words. Words are ordered by rarity, and two lines whose
 threshold have a word of their prefixes in common, at places that still allow the overlap. A line goes if an earlier
 line (by document id, then place) matches it.
 
-Equal lines are settled by hash before the join. Of the rest, each line first meets the earliest line of each of its
-prefix words; only lines that find no match there are compared with all earlier ones, so groups of copies never
-yield their pairs. A 64-bit parity map of each line bounds the overlap ahead of the exact count.
+1. Lines with the same set are settled by a 128-bit hash; only the first of each set goes on.
+2. A sketch of fixed size counts the words of all lines. It gives the order, and it bounds from above how many lines
+   hold a word: words of one line are left out, and the others are light (``LIGHT`` lines or fewer) or heavy.
+3. Light words are joined as they are: one shuffle of the prefix words, read by both sides, with the length, positional
+   and parity filters inside the join, so a word yields a bounded number of pairs for each of its lines.
+4. A heavy word first meets the earliest of its lines only. Lines that find no match so are compared with all earlier
+   lines of their heavy words, by bands of length, so large groups of near copies do not yield their pairs.
+5. Candidates are verified on the words themselves: the likeliest partner of each line first, the others for those
+   lines alone that it did not settle.
 
 Native: DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.cluster import HOT_SHARE, cut, written
+from quarrymill.llm.cluster import BROADCAST_ROWS, cut, join_groups, written
 from quarrymill.llm.exact_dedup import fold_ascii
 
 #: Lines of fewer characters are left alone by default; the query and the pipeline let every line with a word take part.
 MIN_CHARS, EVERY_LINE = 30, 1
-#: Counters of the rarity sketch: a fixed size, whatever the corpus.
-SKETCH = 1 << 16
+#: Counters of the rarity sketch, one byte each: a fixed size, whatever the corpus.
+SKETCH = 1 << 20
+_SLICE = 1 << 10
+#: Lines that a light word has at most (the largest count of its rank).
+LIGHT = 361
+#: Lines of so many words carry a parity map of 128 bits instead of 64.
+LONG = 64
+#: Keys of two longs that may be broadcast, some 50 MB; rows that one line text may be joined with in one task.
+_KEYS, _HOT = 2 * BROADCAST_ROWS, 50_000
 NUM, DEN = 3, 4
+#: Bits that a word's place takes beside the line's words, and that a row of a repeated id has for its tag.
+_POS, _TAG = 24, 37
+
+
+def _rank(count: Column) -> Column:
+    return F.least(F.lit(126), F.floor(2 * F.log2(count + 1))).cast("int")
+
+
+_ONCE, _LIGHT = 2, math.floor(2 * math.log2(LIGHT + 1))
+
 
+def _tagged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with _line_tag: 0, and for rows of repeated ids a hash of the text that tells them apart; and whether there are such rows."""
+    ids = cut(docs.groupBy(F.col(id_col).cast("long").alias("_line_id")).agg(F.count(F.lit(1)).alias("_line_k")).where("_line_k > 1 and _line_id is not null").select("_line_id"))
+    n = ids.count()
+    if not n:
+        return docs.withColumn("_line_tag", F.lit(0).cast("long")), False
+    marked = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge"), F.col(id_col).cast("long") == F.col("_line_id"), "left")
+    tag = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 64 - _TAG)
+    return marked.withColumn("_line_tag", F.when(F.col("_line_id").isNull(), F.lit(0).cast("long")).otherwise(tag)).drop("_line_id"), True
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line_no, line (A-Z folded) of each line that is long enough and holds a word."""
-    rows = docs.select("doc_id", F.posexplode(F.split(fold_ascii(F.col("text")), "\n")).alias("line_no", "line"))
-    return rows.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x09-\x0D ]"))
 
+def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, at, line (A-Z folded, white space as blanks) of each line that is long enough and holds a word.
 
-def _split(line: Column) -> Column:
-    """Words of a line; a split at one literal sign is the fast one, and other white space is rare."""
+    ``at`` is the line number; in rows of a repeated id the tag stands above it.
+    """
+    text = fold_ascii(F.col("text"))
     for c in "\t\x0b\f\r":
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    rows = rows.select("doc_id", "tag", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    at = F.shiftleft("tag", 63 - _TAG) + F.col("i")
+    return rows.where((F.length("line") >= min_chars) & (F.trim("line") != "")).select("doc_id", at.alias("at"), "line")
 
 
-def _ranks(lines: DataFrame) -> Column:
-    """Twice the log2 of each counter of words, as an array that a plan holds once (``SKETCH`` small numbers)."""
-    words = lines.select(F.explode(F.transform(_split(F.col("line")), lambda t: F.pmod(F.xxhash64(t), F.lit(SKETCH)).cast("int"))).alias("k"))
-    held = [0] * SKETCH
-    for r in words.groupBy("k").count().select("k", F.floor(2 * F.log2(F.col("count") + 1)).cast("int").alias("r")).toArrow().to_pylist():
-        held[r["k"]] = min(127, r["r"])
-    return F.from_json(F.lit("[" + ",".join(map(str, held)) + "]"), "array<int>")
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")  # a split at one literal sign is the fast one
 
 
-def _ordered(line: Column, ranks: Column) -> Column:
-    """Distinct words as longs, the rarest first: 7 bits of rank, 56 of hash."""
+def _hashed(line: Column) -> Column:
+    return F.transform(_words(line), lambda t: F.xxhash64(t))
 
-    def word(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, F.pmod(h, F.lit(SKETCH)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_split(line), lambda t: F.xxhash64(t)), word)))
+def _later_copies(lines: DataFrame) -> DataFrame:
+    """(doc_id, at) of lines whose set of words an earlier line has."""
+    keyed = lines.select("doc_id", "at", F.sort_array(F.array_distinct(_hashed(F.col("line")))).alias("w"))
+    keyed = keyed.select("doc_id", "at", F.xxhash64("w").alias("s"), F.xxhash64(F.lit(1), "w").alias("t"))
+    firsts = keyed.groupBy("s", "t").agg(F.min(F.struct("doc_id", "at")).alias("f")).select("f.*")
+    return cut(lines.select("doc_id", "at").join(firsts.hint("merge"), ["doc_id", "at"], "left_anti").distinct())
 
 
-def _parity(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+def _sketch(lines: DataFrame) -> DataFrame:
+    """One row: the rank of each counter, twice the log2 of its words, as an array of bytes."""
+    words = lines.select(F.explode(F.split("line", " ")).alias("t")).where("t <> ''").select(F.pmod(F.xxhash64("t"), F.lit(SKETCH)).cast("int").alias("k"))
+    counts = words.groupBy("k").count()
+    every = lines.sparkSession.range(SKETCH).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
+    dense = counts.unionByName(every).groupBy("k").agg(_rank(F.max("count")).cast("tinyint").alias("r"))
+    parts = dense.groupBy(F.shiftright("k", int(math.log2(_SLICE))).alias("s")).agg(F.sort_array(F.collect_list(F.struct("k", "r")))["r"].alias("r"))
+    return cut(parts.groupBy().agg(F.flatten(F.sort_array(F.collect_list(F.struct("s", "r")))["r"]).alias("ranks")))
+
+
+def _parity(words: Column, high: bool = False) -> Column:
+    def bit(x: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(x.bitwiseAND(F.lit(64)) == 0, F.lit(0).cast("long")).otherwise(one) if high else one
+
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+
+def _sets(lines: DataFrame, sketch: DataFrame) -> DataFrame:
+    """doc_id, at, n (number of words), par, hi (parity maps) and w: words as longs, 7 bits of rank and 56 of hash, the rarest first."""
+
+    def word(h: Column) -> Column:
+        rank = F.get(F.col("ranks"), F.pmod(h, F.lit(SKETCH)).cast("int")).cast("long")
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    ranked = lines.select("doc_id", "at", _hashed(F.col("line")).alias("h"), sketch.scalar().alias("ranks"))
+    sets = ranked.select("doc_id", "at", F.sort_array(F.array_distinct(F.transform("h", word))).alias("w"))
+    n = F.size("w")
+    hi = F.when(n >= LONG, _parity(F.col("w"), True)).otherwise(F.lit(0).cast("long"))
+    return sets.select("doc_id", "at", n.alias("n"), _parity(F.col("w")).alias("par"), hi.alias("hi"), "w")
+
+
+def _postings(sets: DataFrame, num: int, den: int, low: int, high: int) -> DataFrame:
+    """word, doc_id, at, np (words of the line and the word's place), par, hi for prefix words of a rank over ``low``, up to ``high``."""
+    # an expression, not a column: of a column Spark would infer a filter, and work out the words again to apply it early
+    prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)
+    rows = sets.select("doc_id", "at", "n", "par", "hi", F.posexplode(prefix).alias("pos", "word"))
+    rank = F.shiftrightunsigned("word", 56)
+    return rows.where((rank > low) & (rank <= high)).select("word", "doc_id", "at", (F.shiftleft(F.col("n").cast("long"), _POS) + F.col("pos")).alias("np"), "par", "hi")
+
+
+def _filters(a, b, num: int, den: int) -> tuple[Column, Column]:
+    """Whether line ``b`` is earlier than ``a`` and the length, positional and parity filters let the two through; and their distance in the parity maps."""
+    n, m = (F.shiftrightunsigned(s("np"), _POS) for s in (a, b))
+    i, j = (s("np").bitwiseAND(F.lit((1 << _POS) - 1)) for s in (a, b))
+    differ = lambda f: F.bit_count(f(a).bitwiseXOR(f(b)))
+    apart = F.when(F.least(n, m) >= LONG, differ(lambda s: s("hi")) + differ(lambda s: s("par").bitwiseXOR(s("hi")))).otherwise(differ(lambda s: s("par")))
+    earlier = (b("doc_id") < a("doc_id")) | ((b("doc_id") == a("doc_id")) & (b("at") < a("at")))
+    sizes = (F.lit(num) * F.greatest(n, m) <= F.lit(den) * F.least(n, m)) & (F.lit(num + den) * F.least(n - i, m - j) >= F.lit(num) * (n + m))
+    return earlier & sizes & (F.lit(num + den) * apart <= F.lit(den - num) * (n + m)), apart / (n + m)
+
+
+def _pairs(later: DataFrame, earlier: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """doc_id, at, d2, a2, apart of lines that agree in ``keys`` and pass the filters, which the join itself applies."""
+    on, apart = _filters(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), num, den)
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return later.alias("a").join(earlier.alias("b").hint("merge"), on).select("a.doc_id", "a.at", F.col("b.doc_id").alias("d2"), F.col("b.at").alias("a2"), apart.alias("apart"))
+
+
+def _head_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for lines of heavy words with the first line of the word, ``c``."""
+    passed, apart = _filters(F.col, lambda c: F.col(f"c.{c}"), num, den)
+    return met.where(passed).select("doc_id", "at", F.col("c.doc_id").alias("d2"), F.col("c.at").alias("a2"), apart.alias("apart"))
+
+
+def _without(rows: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    return rows.join(F.broadcast(gone) if n <= _KEYS else gone.hint("merge"), ["doc_id", "at"], "left_anti")
+
+
+def _texts(rows: DataFrame, pairs: DataFrame, min_chars: int) -> tuple[DataFrame, Callable[[], None]]:
+    """doc_id, at, line of the lines in ``pairs``, as a written table."""
+    ids = cut(pairs.select("doc_id", "at").unionByName(pairs.select(F.col("d2").alias("doc_id"), F.col("a2").alias("at"))).distinct())
+    if ids.count() > _KEYS:
+        return written(_lines(rows, min_chars).join(ids.hint("merge"), ["doc_id", "at"], "left_semi"))
+    some = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    return written(_lines(some, min_chars).join(F.broadcast(ids), ["doc_id", "at"], "left_semi"))
+
+
+def _checked(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, at) of the lines of ``pairs`` whose similarity with the other line reaches the threshold, by the words themselves."""
+    # the text of a line that very many are compared with is dealt to several tasks
+    hot = cut(pairs.groupBy("d2", "a2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > _HOT).select("d2", "a2", F.ceil(F.col("k") / _HOT).cast("int").alias("copies")))
+    pairs = pairs.join(F.broadcast(hot), ["d2", "a2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    pairs = pairs.select("doc_id", "at", "d2", "a2", F.pmod(F.xxhash64("doc_id", "at"), F.col("copies")).cast("int").alias("copy"))
+    other = texts.select(F.col("doc_id").alias("d2"), F.col("at").alias("a2"), F.col("line").alias("line2")).join(F.broadcast(hot), ["d2", "a2"], "left")
+    other = other.select("d2", "a2", "line2", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    both = pairs.join(texts.hint("merge"), ["doc_id", "at"]).join(other.hint("merge"), ["d2", "a2", "copy"])
+    both = both.select("doc_id", "at", F.array_distinct(_words(F.col("line"))).alias("w"), F.array_distinct(_words(F.col("line2"))).alias("v"))
+    both = both.select("doc_id", "at", (F.size("w") + F.size("v")).alias("total"), F.size(F.array_intersect("w", "v")).alias("common"))
+    return cut(both.where(F.lit(num + den) * F.col("common") >= F.lit(num) * F.col("total")).select("doc_id", "at").distinct())
+
+
+def _matched(rows: DataFrame, pairs: DataFrame, num: int, den: int, min_chars: int) -> DataFrame:
+    """(doc_id, at) of the lines that match a partner in ``pairs``: the likeliest one is tried first."""
+    texts, drop = _texts(rows, pairs, min_chars)
+    best = cut(pairs.groupBy("doc_id", "at").agg(F.min(F.struct("apart", "d2", "a2")).alias("b")).select("doc_id", "at", "b.d2", "b.a2"))
+    found = _checked(texts, best, num, den)
+    others = _without(pairs.drop("apart"), found, found.count()).join(best.hint("merge"), ["doc_id", "at", "d2", "a2"], "left_anti")
+    more = _checked(texts, cut(others), num, den)
+    drop()
+    return found.unionByName(more)
+
+
+def _gone(tagged: DataFrame, repeats: bool, id_col: str, text_col: str, threshold: tuple[int, int], min_chars: int) -> DataFrame:
+    """doc_id, tag, line_no of the lines that go, once each."""
+    num, den = threshold
+    rows = tagged.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col("_line_tag").alias("tag"), F.col(text_col).cast("string").alias("text"))
+    # rows that repeat an id and its text are one document
+    rows = rows.where("tag = 0").unionByName(rows.where("tag <> 0").dropDuplicates(["doc_id", "tag"])) if repeats else rows
+    gone = _gone_at(rows, num, den, min_chars)
+    tag = F.shiftrightunsigned("at", 63 - _TAG)
+    return gone.select("doc_id", tag.alias("tag"), (F.col("at") - F.shiftleft(tag, 63 - _TAG)).cast("int").alias("line_no"))
+
+
+def _gone_at(rows: DataFrame, num: int, den: int, min_chars: int) -> DataFrame:
+    """(doc_id, at) of the lines that go."""
+    lines = _lines(rows, min_chars)
+    copies = _later_copies(lines)
+    if num >= den:
+        return copies
+    sketch = _sketch(lines)
+    sets = _sets(_without(lines, copies, copies.count()), sketch)
+    light = _postings(sets, num, den, _ONCE, _LIGHT)
+    heavy, drop_heavy = written(_postings(sets, num, den, _LIGHT, 127))
+    first = F.min(F.struct("doc_id", "at", "np", "par", "hi")).alias("c")
+    heads = cut(heavy.groupBy("word").agg(first, F.count(F.lit(1)).alias("k")).where("k > 1").select("word", "k", "c"))
+    met = join_groups(heavy, heads, "word", "k", heavy.count()).where("c is not null")
+    step = math.log(den / num)
+    pairs, drop_pairs = written(_pairs(light, light, ["word"], num, den).unionByName(_head_pairs(met, num, den)).distinct())
+    found = _matched(rows, pairs, num, den, min_chars)
+    drop_pairs()
+
+    # heavy words of the lines that are left, against all earlier lines; sizes that may pair are at most one band apart
+    found = cut(found)
+    band = F.floor(F.log(F.shiftrightunsigned("np", _POS).cast("double")) / step).cast("int")
+    left = _without(heavy, found, found.count()).withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    pairs, drop_pairs = written(_pairs(left, heavy.withColumn("band", band), ["word", "band"], num, den).distinct())
+    more = _matched(rows, pairs, num, den, min_chars)
+    drop_pairs()
+    drop_heavy()
+    return cut(copies.unionByName(found).unionByName(more).distinct())
 
 
-def _filters(n: Column, m: Column, i: Column, j: Column, a: Column, b: Column, num: int, den: int) -> Column:
-    """Length, positional and parity filters; ``i`` and ``j`` are places of the common word."""
-    need = F.lit(num) * (n + m)
-    left = F.least(n - i, m - j)
-    return (F.lit(num) * F.greatest(n, m) <= F.lit(den) * F.least(n, m)) & (F.lit(num + den) * left >= need) & (F.lit(num + den) * F.bit_count(a.bitwiseXOR(b)) <= F.lit(den - num) * (n + m))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (NUM, DEN), min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no) of the lines that an earlier line matches, with ``exact``: that line is equal but for case.
+    """(doc_id, line_no) of the lines that an earlier line matches.
 
     Lines are split at line feeds and number from 0. A line matches with Jaccard similarity of its set of words
-    (hashed to 56 bits; A-Z folded) at least ``threshold``; the earlier line counts whether or not it goes itself.
-    Lines under ``min_chars`` characters and blank ones neither go nor match. Null and empty texts have no such lines. Null ids are
-    left out. Rows that repeat an id and a line number are one line to those after them. An empty table gives an
-    empty result. Only the named columns are read.
+    (A-Z folded) at least ``threshold``; the earlier line counts whether or not it goes itself. Lines under
+    ``min_chars`` characters and blank ones neither go nor match. Null and empty texts have no such lines. Null ids
+    are left out. Rows that repeat an id and its text are one document; other rows that repeat an id are documents of
+    their own, in the order of a hash of their texts. An empty table gives an empty result. Only the named columns
+    are read.
     """
-    num, den = threshold
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = _lines(docs, min_chars)
-    ranks = _ranks(lines)
-    light = cut(lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("h")))
-    total = light.count()
-    firsts = cut(light.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("k")))
-    later = light.join(firsts.select("f.*").hint("merge"), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no")
-    # copies of hot lines (at most 1 / HOT_SHARE of them) do not go through the join; their first line does
-    hot = firsts.where(F.col("k") > F.lit(max(1.0, total * HOT_SHARE))).select("h", F.col("f").alias("hf"))
-    once = lines.withColumn("h", F.unhex(F.md5("line"))).join(F.broadcast(hot), "h", "left").where("hf is null or (hf.doc_id = doc_id and hf.line_no = line_no)")
-    sets = once.select("doc_id", "line_no", _ordered(F.col("line"), ranks).alias("w")).select("doc_id", "line_no", "w", F.size("w").alias("n"), _parity(F.col("w")).alias("par"))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    posts, drop_posts = written(sets.select("doc_id", "line_no", "n", "par", F.posexplode(F.slice("w", F.lit(1), prefix)).alias("pos", "word")))
-
-    # a word that one line holds matches nothing; the earliest line of each other word is its centre
-    centre = F.min(F.struct("doc_id", "line_no", "n", "par", "pos")).alias("c")
-    heads = posts.groupBy("word").agg(centre, F.count(F.lit(1)).alias("k")).where("k > 1").select("word", "c")
-    shared, drop_shared = written(posts.join(heads.hint("merge"), "word"))
-    drop_posts()
-    is_later = F.struct("c.doc_id", "c.line_no") < F.struct("doc_id", "line_no")
-    first = shared.where(is_later & _filters(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"), F.col("par"), F.col("c.par"), num, den))
-    first = first.select("doc_id", "line_no", F.col("c.doc_id").alias("d2"), F.col("c.line_no").alias("l2")).distinct()
-    found = cut(_verified(lines, first, num, den))
-
-    # what is left meets all earlier lines that the filters allow
-    gone = found.unionByName(later).distinct()
-    rest = shared.where(is_later).drop("c").join(gone.hint("merge"), ["doc_id", "line_no"], "left_anti")
-    many = rest.alias("a").join(shared.drop("c").alias("b").hint("merge"), F.col("a.word") == F.col("b.word"))
-    many = many.where(
-        (F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no"))
-        & _filters(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), F.col("a.par"), F.col("b.par"), num, den)
-    )
-    second = many.select("a.doc_id", "a.line_no", F.col("b.doc_id").alias("d2"), F.col("b.line_no").alias("l2")).distinct()
-    more = _verified(lines, second, num, den)
-    near = found.unionByName(more).withColumn("exact", F.lit(False))
-    gone = cut(near.unionByName(later.withColumn("exact", F.lit(True))).groupBy("doc_id", "line_no").agg(F.max("exact").alias("exact")))
-    drop_shared()
-    return gone
-
-
-def _verified(lines: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Lines of ``pairs`` (doc_id, line_no, d2, l2) whose similarity with the other line reaches the threshold."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no"))).distinct())
-    n = ids.count()
-    small = n <= 400_000
-    side = F.broadcast(ids) if small else ids.hint("merge")
-    words = lines.join(side, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", F.array_distinct(F.transform(_split(F.col("line")), lambda t: F.xxhash64(t))).alias("w")).dropDuplicates(["doc_id", "line_no"])
-    words = cut(words)
-    other = words.select(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"), F.col("w").alias("v"))
-    both = pairs.join(words.hint("merge"), ["doc_id", "line_no"]).join(other.hint("merge"), ["d2", "l2"])
-    common = F.size(F.array_intersect("w", "v"))
-    return both.where(F.lit(den) * common >= F.lit(num) * (F.size("w") + F.size("v") - common)).select("doc_id", "line_no").distinct()
+    return _gone(*_tagged(docs.select(id_col, text_col), id_col, text_col), id_col, text_col, threshold, min_chars).select("doc_id", "line_no").distinct()
+
+
+def _with_gone(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int], min_chars: int) -> DataFrame:
+    """``docs`` with _line_gone: the numbers of its lines that go, in order; null where none does."""
+    tagged, repeats = _tagged(docs, id_col, text_col)
+    gone = _gone(tagged, repeats, id_col, text_col, threshold, min_chars)
+    lists = cut(gone.groupBy(F.col("doc_id").alias("_line_id"), F.col("tag").alias("_line_t")).agg(F.sort_array(F.collect_list("line_no")).alias("_line_gone")))
+    n, held = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_line_gone")), F.lit(0))).first()
+    on = (F.col(id_col).cast("long") == F.col("_line_id")) & (F.col("_line_tag") == F.col("_line_t"))
+    return tagged.join(F.broadcast(lists) if n <= BROADCAST_ROWS and held <= 10 * BROADCAST_ROWS else lists.hint("merge"), on, "left").drop("_line_tag", "_line_id", "_line_t")
+
+
+def _kept(lines: str) -> Column:
+    """The text of the lines that stay, from columns of all lines and of those that go."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_gone")
+    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (NUM, DEN), min_chars: int = MIN_CHARS) -> DataFrame:
@@ -139,23 +272,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document of which every line goes keeps an empty text. Texts without a repeated line, null ones among them,
     stay as they are, as do rows with a null id. See ``repeated_lines`` for what a repeated line is.
     """
-    gone = repeated_lines(docs, id_col, text_col, threshold, min_chars)
-    lists = cut(gone.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("line_no").alias("_gone")))
-    n = lists.count()
-    joined = docs.join(F.broadcast(lists) if n <= 400_000 else lists.hint("merge"), F.col(id_col).cast("long") == F.col("_d"), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("_d", "_gone")
+    rows = _with_gone(docs, id_col, text_col, threshold, min_chars).withColumn("_line_all", F.when(F.col("_line_gone").isNotNull(), F.split(F.col(text_col), "\n")))
+    text = F.when(F.col("_line_gone").isNull(), F.col(text_col)).otherwise(_kept("_line_all"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, lines_removed (their numbers in order), n_kept_chars, kept_sha256 (of the text that stays) for each document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = repeated_lines(docs, min_chars=EVERY_LINE)
-    lists = cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines_removed")))
-    n = lists.count()
-    joined = docs.join(F.broadcast(lists) if n <= 400_000 else lists.hint("merge"), "doc_id", "left")
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("lines_removed"), i)), "\n")
-    left = F.when(F.col("lines_removed").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
-    out = joined.select("doc_id", F.size(split).cast("long").alias("n_lines"), F.coalesce("lines_removed", F.array().cast("array<int>")).alias("lines_removed"), left.alias("t"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _with_gone(docs, "doc_id", "text", (NUM, DEN), EVERY_LINE).withColumn("lines", F.split("text", "\n"))
+    left = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(_kept("lines"))
+    out = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("_line_gone", F.array().cast("array<int>")).alias("lines_removed"), left.alias("t"))
     return out.select("doc_id", "n_lines", "lines_removed", F.length("t").cast("long").alias("n_kept_chars"), F.sha2("t", 256).alias("kept_sha256"))
