@@ -4,7 +4,7 @@ A line is the set of its words. Words are ordered by rarity, and two lines whose
 threshold have a word of their prefixes in common, at places that still allow the overlap. A line goes if an earlier
 line (by document id, then place) matches it.
 
-1. Lines with the same set are settled by a 128-bit hash; only the first of each set goes on.
+1. Equal lines are settled by a 128-bit hash; only the first of them goes on.
 2. A sketch of fixed size counts the words of all lines. It gives the order, and it bounds from above how many lines
    hold a word: words of one line are left out, and the others are light (``LIGHT`` lines or fewer) or heavy.
 3. Light words are joined as they are: one shuffle of the prefix words, read by both sides, with the length, positional
@@ -62,40 +62,44 @@ def _tagged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, boo
     return marked.withColumn("_line_tag", F.when(F.col("_line_id").isNull(), F.lit(0).cast("long")).otherwise(tag)).drop("_line_id"), True
 
 
+def _folded(text: Column) -> Column:
+    """A-Z folded, white space but line feeds as blanks."""
+    text = fold_ascii(text)
+    for c in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, at, line (A-Z folded, white space as blanks) of each line that is long enough and holds a word.
+    """doc_id, at, raw (as it stands in the text) of each line that is long enough and holds a word.
 
     ``at`` is the line number; in rows of a repeated id the tag stands above it.
     """
-    text = fold_ascii(F.col("text"))
-    for c in "\t\x0b\f\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    rows = rows.select("doc_id", "tag", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    rows = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
     at = F.shiftleft("tag", 63 - _TAG) + F.col("i")
-    return rows.where((F.length("line") >= min_chars) & (F.trim("line") != "")).select("doc_id", at.alias("at"), "line")
+    return rows.where((F.length("raw") >= min_chars) & (F.trim("raw", F.lit(" \t\x0b\f\r")) != "")).select("doc_id", at.alias("at"), "raw")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")  # a split at one literal sign is the fast one
+def _line() -> Column:
+    return _folded(F.col("raw")).alias("line")  # what folds is only what is left of the lines where this is selected
 
 
-def _hashed(line: Column) -> Column:
-    return F.transform(_words(line), lambda t: F.xxhash64(t))
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")  # a split at one literal sign is the fast one
 
 
-def _later_copies(lines: DataFrame) -> DataFrame:
-    """(doc_id, at) of lines whose set of words an earlier line has."""
-    keyed = lines.select("doc_id", "at", F.sort_array(F.array_distinct(_hashed(F.col("line")))).alias("w"))
-    keyed = keyed.select("doc_id", "at", F.xxhash64("w").alias("s"), F.xxhash64(F.lit(1), "w").alias("t"))
+def _later_copies(lines: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """(doc_id, at) of lines that equal an earlier one."""
+    keyed = lines.select("doc_id", "at", _line()).select("doc_id", "at", F.xxhash64("line").alias("s"), F.xxhash64(F.lit(1), "line").alias("t"))
     firsts = keyed.groupBy("s", "t").agg(F.min(F.struct("doc_id", "at")).alias("f")).select("f.*")
-    return cut(lines.select("doc_id", "at").join(firsts.hint("merge"), ["doc_id", "at"], "left_anti").distinct())
+    return written(lines.select("doc_id", "at").join(firsts.hint("merge"), ["doc_id", "at"], "left_anti").distinct())
 
 
-def _sketch(lines: DataFrame) -> DataFrame:
-    """One row: the rank of each counter, twice the log2 of its words, as an array of bytes."""
-    words = lines.select(F.explode(F.split("line", " ")).alias("t")).where("t <> ''").select(F.pmod(F.xxhash64("t"), F.lit(SKETCH)).cast("int").alias("k"))
-    counts = words.groupBy("k").count()
-    every = lines.sparkSession.range(SKETCH).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
+def _sketch(rows: DataFrame) -> DataFrame:
+    """One row: the rank of each counter, twice the log2 of its words in all texts, as an array of bytes."""
+    words = rows.select(F.explode(F.split(F.replace(_folded(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t"))
+    counts = words.select(F.pmod(F.xxhash64("t"), F.lit(SKETCH)).cast("int").alias("k")).groupBy("k").count()
+    every = rows.sparkSession.range(SKETCH).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
     dense = counts.unionByName(every).groupBy("k").agg(_rank(F.max("count")).cast("tinyint").alias("r"))
     parts = dense.groupBy(F.shiftright("k", int(math.log2(_SLICE))).alias("s")).agg(F.sort_array(F.collect_list(F.struct("k", "r")))["r"].alias("r"))
     return cut(parts.groupBy().agg(F.flatten(F.sort_array(F.collect_list(F.struct("s", "r")))["r"]).alias("ranks")))
@@ -109,25 +113,26 @@ def _parity(words: Column, high: bool = False) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
-def _sets(lines: DataFrame, sketch: DataFrame) -> DataFrame:
-    """doc_id, at, n (number of words), par, hi (parity maps) and w: words as longs, 7 bits of rank and 56 of hash, the rarest first."""
+def _sets(lines: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, at, n (number of words), par, hi (parity maps) and prefix: words as longs, 7 bits of rank and 56 of hash, the rarest first."""
 
     def word(h: Column) -> Column:
         rank = F.get(F.col("ranks"), F.pmod(h, F.lit(SKETCH)).cast("int")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.coalesce(F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))  # never null, and so sorted as plain longs
 
-    ranked = lines.select("doc_id", "at", _hashed(F.col("line")).alias("h"), sketch.scalar().alias("ranks"))
-    sets = ranked.select("doc_id", "at", F.sort_array(F.array_distinct(F.transform("h", word))).alias("w"))
+    none = F.xxhash64(F.lit(""))  # what stands between two blanks
+    hashed = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda t: F.xxhash64(t))), none)
+    ranked = lines.select("doc_id", "at", _line()).select("doc_id", "at", hashed.alias("h"), sketch.scalar().alias("ranks"))
+    sets = ranked.select("doc_id", "at", F.sort_array(F.transform("h", word)).alias("w"))
     n = F.size("w")
     hi = F.when(n >= LONG, _parity(F.col("w"), True)).otherwise(F.lit(0).cast("long"))
-    return sets.select("doc_id", "at", n.alias("n"), _parity(F.col("w")).alias("par"), hi.alias("hi"), "w")
+    prefix = n - F.ceil(n * num / den).cast("int") + 1
+    return sets.select("doc_id", "at", n.alias("n"), _parity(F.col("w")).alias("par"), hi.alias("hi"), F.slice("w", F.lit(1), prefix).alias("prefix"))
 
 
-def _postings(sets: DataFrame, num: int, den: int, low: int, high: int) -> DataFrame:
+def _postings(sets: DataFrame, low: int, high: int) -> DataFrame:
     """word, doc_id, at, np (words of the line and the word's place), par, hi for prefix words of a rank over ``low``, up to ``high``."""
-    # an expression, not a column: of a column Spark would infer a filter, and work out the words again to apply it early
-    prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)
-    rows = sets.select("doc_id", "at", "n", "par", "hi", F.posexplode(prefix).alias("pos", "word"))
+    rows = sets.select("doc_id", "at", "n", "par", "hi", F.posexplode("prefix").alias("pos", "word"))
     rank = F.shiftrightunsigned("word", 56)
     return rows.where((rank > low) & (rank <= high)).select("word", "doc_id", "at", (F.shiftleft(F.col("n").cast("long"), _POS) + F.col("pos")).alias("np"), "par", "hi")
 
@@ -165,9 +170,9 @@ def _texts(rows: DataFrame, pairs: DataFrame, min_chars: int) -> tuple[DataFrame
     """doc_id, at, line of the lines in ``pairs``, as a written table."""
     ids = cut(pairs.select("doc_id", "at").unionByName(pairs.select(F.col("d2").alias("doc_id"), F.col("a2").alias("at"))).distinct())
     if ids.count() > _KEYS:
-        return written(_lines(rows, min_chars).join(ids.hint("merge"), ["doc_id", "at"], "left_semi"))
+        return written(_lines(rows, min_chars).join(ids.hint("merge"), ["doc_id", "at"], "left_semi").select("doc_id", "at", _line()))
     some = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    return written(_lines(some, min_chars).join(F.broadcast(ids), ["doc_id", "at"], "left_semi"))
+    return written(_lines(some, min_chars).join(F.broadcast(ids), ["doc_id", "at"], "left_semi").select("doc_id", "at", _line()))
 
 
 def _checked(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -209,17 +214,15 @@ def _gone(tagged: DataFrame, repeats: bool, id_col: str, text_col: str, threshol
 def _gone_at(rows: DataFrame, num: int, den: int, min_chars: int) -> DataFrame:
     """(doc_id, at) of the lines that go."""
     lines = _lines(rows, min_chars)
-    copies = _later_copies(lines)
-    if num >= den:
-        return copies
-    sketch = _sketch(lines)
-    sets = _sets(_without(lines, copies, copies.count()), sketch)
-    light = _postings(sets, num, den, _ONCE, _LIGHT)
-    heavy, drop_heavy = written(_postings(sets, num, den, _LIGHT, 127))
+    copies, drop_copies = _later_copies(lines)
+    # a table of its own: what is computed up to here is then the same plan for all who read it, so its shuffle is used again
+    sets, drop_sets = written(_sets(_without(lines, copies, copies.count()), _sketch(rows), num, den))
+    light = _postings(sets, _ONCE, _LIGHT)
+    heavy = _postings(sets, _LIGHT, 127)
     first = F.min(F.struct("doc_id", "at", "np", "par", "hi")).alias("c")
     heads = cut(heavy.groupBy("word").agg(first, F.count(F.lit(1)).alias("k")).where("k > 1").select("word", "k", "c"))
     met = join_groups(heavy, heads, "word", "k", heavy.count()).where("c is not null")
-    step = math.log(den / num)
+    step = math.log(den / num) if num < den else 1.0
     pairs, drop_pairs = written(_pairs(light, light, ["word"], num, den).unionByName(_head_pairs(met, num, den)).distinct())
     found = _matched(rows, pairs, num, den, min_chars)
     drop_pairs()
@@ -231,8 +234,10 @@ def _gone_at(rows: DataFrame, num: int, den: int, min_chars: int) -> DataFrame:
     pairs, drop_pairs = written(_pairs(left, heavy.withColumn("band", band), ["word", "band"], num, den).distinct())
     more = _matched(rows, pairs, num, den, min_chars)
     drop_pairs()
-    drop_heavy()
-    return cut(copies.unionByName(found).unionByName(more).distinct())
+    drop_sets()
+    gone = cut(copies.unionByName(found).unionByName(more).distinct())
+    drop_copies()
+    return gone
 
 
 
