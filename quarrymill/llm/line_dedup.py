@@ -10,7 +10,7 @@ line (by document id, then place) matches it.
 3. Light words are joined as they are: one shuffle of the prefix words, read by both sides, with the length, positional
    and parity filters inside the join, so a word yields a bounded number of pairs for each of its lines.
 4. A heavy word first meets the earliest of its lines only. Lines that find no match so are compared with all earlier
-   lines of their heavy words, by bands of length, so large groups of near copies do not yield their pairs.
+   lines of their heavy words, so large groups of near copies do not yield their pairs.
 5. Candidates are verified on the words themselves: the likeliest partner of each line first, the others for those
    lines alone that it did not settle.
 
@@ -34,7 +34,7 @@ MIN_CHARS, EVERY_LINE = 30, 1
 SKETCH = 1 << 20
 _SLICE = 1 << 10
 #: Lines that a light word has at most (the largest count of its rank).
-LIGHT = 361
+LIGHT = 1448
 #: Lines of so many words carry a parity map of 128 bits instead of 64.
 LONG = 64
 #: Keys of two longs that may be broadcast, some 50 MB; rows that one line text may be joined with in one task.
@@ -148,11 +148,10 @@ def _filters(a, b, num: int, den: int) -> tuple[Column, Column]:
     return earlier & sizes & (F.lit(num + den) * apart <= F.lit(den - num) * (n + m)), apart / (n + m)
 
 
-def _pairs(later: DataFrame, earlier: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """doc_id, at, d2, a2, apart of lines that agree in ``keys`` and pass the filters, which the join itself applies."""
+def _pairs(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, at, d2, a2, apart of lines that share a word and pass the filters, which the join itself applies."""
     on, apart = _filters(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), num, den)
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    on = on & (F.col("a.word") == F.col("b.word"))
     return later.alias("a").join(earlier.alias("b").hint("merge"), on).select("a.doc_id", "a.at", F.col("b.doc_id").alias("d2"), F.col("b.at").alias("a2"), apart.alias("apart"))
 
 
@@ -222,16 +221,13 @@ def _gone_at(rows: DataFrame, num: int, den: int, min_chars: int) -> DataFrame:
     first = F.min(F.struct("doc_id", "at", "np", "par", "hi")).alias("c")
     heads = cut(heavy.groupBy("word").agg(first, F.count(F.lit(1)).alias("k")).where("k > 1").select("word", "k", "c"))
     met = join_groups(heavy, heads, "word", "k", heavy.count()).where("c is not null")
-    step = math.log(den / num) if num < den else 1.0
-    pairs, drop_pairs = written(_pairs(light, light, ["word"], num, den).unionByName(_head_pairs(met, num, den)).distinct())
+    pairs, drop_pairs = written(_pairs(light, light, num, den).unionByName(_head_pairs(met, num, den)).distinct())
     found = _matched(rows, pairs, num, den, min_chars)
     drop_pairs()
 
-    # heavy words of the lines that are left, against all earlier lines; sizes that may pair are at most one band apart
+    # heavy words of the lines that are left, against all earlier lines
     found = cut(found)
-    band = F.floor(F.log(F.shiftrightunsigned("np", _POS).cast("double")) / step).cast("int")
-    left = _without(heavy, found, found.count()).withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    pairs, drop_pairs = written(_pairs(left, heavy.withColumn("band", band), ["word", "band"], num, den).distinct())
+    pairs, drop_pairs = written(_pairs(_without(heavy, found, found.count()), heavy, num, den).distinct())
     more = _matched(rows, pairs, num, den, min_chars)
     drop_pairs()
     drop_sets()
