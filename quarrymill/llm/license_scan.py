@@ -1,25 +1,27 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
 Texts and templates are cut into windows of ``WINDOW`` words that overlap by half. A window's 3-word shingles are
-hashed once; a minimum for each band under its own xor mask (a permutation of the hashes) makes the band's key. One
-row a band gives recall by the number of bands alone: windows with similarity s share a band with probability
-1 - (1 - s)^BANDS. A five-word notice fills 3 of the 10 shingles of its window, s = 0.3 and 0.9998; a text window
-meets the nearest window of a longer template at s = 0.5 or more, and 1 - 6e-8.
+hashed once, and again with each band's own hash, whose minimum is the band's key. One row a band gives recall by the
+number of bands alone: windows with similarity s share a band with probability 1 - (1 - s)^BANDS. A five-word notice
+fills 3 of the 10 shingles of its window, s = 0.3 and 0.9998; a text window meets the nearest window of a longer
+template at s = 0.5 or more, and 1 - 6e-8.
+
+Windows can only share a band if they share a shingle, so texts without any shingle of a template are left out first.
 
 Native: DataFrame functions only.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.cluster import BROADCAST_ROWS, cut, semi_by_key
+from quarrymill.llm.cluster import BROADCAST_ROWS, cut, written
 from quarrymill.llm.exact_dedup import fold_ascii
 
 WINDOW, STRIDE, SHINGLE, BANDS = 12, 6, 3, 24
+#: Shingles of templates that a plan carries to sort out texts that hold none; with more, all texts are banded.
+CARRIED = 20_000
 MIN_CONTAINMENT = 0.8
 
 #: Wording of public licenses and of the notices that name them.
@@ -57,22 +59,19 @@ def shingles(toks: Column) -> Column:
     return F.when(n >= 1, F.transform(places, lambda i: F.xxhash64(F.get(toks, i - 1), F.get(toks, i), F.get(toks, i + 1)))).when(F.size(toks) > 0, F.array(F.xxhash64(toks))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _masks() -> list[int]:
-    return [int.from_bytes(hashlib.sha256(b"band%d" % i).digest()[:8], "big", signed=True) for i in range(BANDS)]
-
-
 def banded(df: DataFrame, sh: str) -> DataFrame:
-    """A row for each window and band: the other columns of ``df``, window, key (the band's least shingle under its mask)."""
+    """A row for each window and band: the other columns of ``df``, window, key (the shingle that is least by the band's own hash)."""
     per = WINDOW - SHINGLE + 1
     starts = F.when(F.size(sh) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(sh) - per) / STRIDE).cast("int"))))
     parts = F.transform(starts, lambda j: F.struct(j.alias("window"), F.slice(sh, j * STRIDE + 1, per).alias("part")))
     rest = [c for c in df.columns if c != sh]
 
-    def least(mask: int) -> Column:
-        return F.array_min(F.transform("part", lambda x: x.bitwiseXOR(F.lit(mask))))
+    def least(band: int) -> Column:
+        return F.array_min(F.transform("part", lambda x: F.xxhash64(x, F.lit(band))))
 
     rows = df.select(*rest, F.explode(parts).alias("_w")).select(*rest, F.col("_w.window").alias("window"), F.col("_w.part").alias("part"))
-    return rows.select(*rest, "window", F.explode(F.array(*map(least, _masks()))).alias("key"))
+    keys = [F.xxhash64(least(i), F.lit(i)) for i in range(BANDS)]  # with its number, so that bands do not meet each other
+    return rows.select(*rest, "window", F.explode(F.array(*keys)).alias("key"))
 
 
 def _with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -89,7 +88,7 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     longer template found in the same document is still reported.
 
     Null and empty texts hold nothing; templates without words are left out. Rows that repeat an id are one
-    document. Null ids are left out. An empty table gives an empty result. Only the named columns are read.
+    document, which holds what any of them holds. Null ids are left out. An empty table gives an empty result. Only the named columns are read.
     """
     spark = docs.sparkSession
     if templates is None:
@@ -103,13 +102,16 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     keyed = cut(banded(cuts, "tpart").select("template", "key").distinct())
     n_keys = keyed.count()
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read = read.withColumn("row", F.xxhash64("doc_id", "text"))  # rows may repeat an id
+    every = cut(known.select(F.explode(F.col("tsh")).alias("s")).distinct().agg(F.collect_list("s").alias("every"), F.count(F.lit(1)).alias("n")))
     sets = _with_shingles(read, "text", "sh")
+    if every.first()["n"] <= CARRIED:
+        sets = sets.where(F.arrays_overlap("sh", every.select("every").scalar()))
+    sets, drop = written(sets)
     met = banded(sets, "sh")
-    met = cut(met.join(F.broadcast(keyed) if n_keys <= BROADCAST_ROWS else keyed, "key").select("doc_id", "template", "window").distinct())
-    ids = cut(met.select("doc_id").distinct())
-    own = _with_shingles(semi_by_key(read, ids, "doc_id"), "text", "sh")
-    at = met.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS // 100 else known, "template").groupBy("doc_id", "template", "license", "size", "tsh").agg(F.array_sort(F.collect_set("window")).alias("windows"))
-    full = at.join(own.dropDuplicates(["doc_id"]), "doc_id")
+    met = cut(met.join(F.broadcast(keyed) if n_keys <= BROADCAST_ROWS else keyed, "key").select("doc_id", "row", "template", "window").distinct())
+    at = met.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS // 100 else known, "template").groupBy("doc_id", "row", "template", "license", "size", "tsh").agg(F.array_sort(F.collect_set("window")).alias("windows"))
+    full = at.join(sets, ["doc_id", "row"])
 
     def place(j: Column) -> Column:
         first = F.greatest(F.lit(0), j * STRIDE - F.col("size"))
@@ -117,6 +119,8 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
         return F.struct((F.size(F.array_intersect("tsh", stretch)) / F.col("size")).alias("containment"), (-first).alias("first"))
 
     best = full.select("doc_id", "template", "license", F.array_max(F.transform("windows", place)).alias("p"))
+    best = cut(best.groupBy("doc_id", "template", "license").agg(F.max("p").alias("p")))
+    drop()
     return best.select("doc_id", "template", "license", F.col("p.containment").alias("containment"), (-F.col("p.first")).cast("long").alias("first_word")).where(F.col("containment") >= min_containment)
 
 
