@@ -18,6 +18,8 @@ PROFILE, DOC_PROFILE = 400, 300
 #: Languages that may be learned; their profiles are collected and sent to the tasks.
 MAX_LANGS = 10_000
 _DENSE = 1 << 20
+#: Code of a word's edge within grams; U+0001 is no letter.
+EDGE = 1
 
 
 @lru_cache(1)
@@ -59,16 +61,16 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def grams(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the 1- to 3-grams of a sequence; no gram is a single 0.
+    """Codes and counts of the 1- to 3-grams of a sequence, 21 bits a sign; a 0 of the sequence, a word's edge, is ``EDGE``.
 
-    A gram that begins with a 0 has the code of what follows, so "_b" and "b" count as one gram of a language.
+    An edge alone is no gram, and two edges that meet, as where sequences are joined, are in none.
     """
     if not len(seq):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     alphabet = np.flatnonzero(np.bincount(seq)) if seq.max() < 0x3000 else np.unique(seq)
     k = len(alphabet)
     x = np.searchsorted(alphabet, seq).astype(np.int64)
-    wide = alphabet.astype(np.int64)
+    wide = np.where(alphabet == 0, EDGE, alphabet).astype(np.int64)
     out = []
     for n in (1, 2, 3):
         if len(x) < n:
@@ -83,9 +85,10 @@ def grams(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         full = wide[code % k]
         for j in range(1, n):
             full |= wide[code // k**j % k] << (21 * j)
-        out.append((full, count))
-    code, count = np.concatenate([c for c, _ in out]), np.concatenate([c for _, c in out])
-    return code[code != 0], count[code != 0]
+        edges = [(full >> (21 * j)) & 0x1FFFFF == EDGE for j in range(n)]
+        bad = edges[0] if n == 1 else edges[0] & edges[1] if n == 2 else edges[1] & (edges[0] | edges[2])
+        out.append((full[~bad], count[~bad]))
+    return np.concatenate([c for c, _ in out]), np.concatenate([c for _, c in out])
 
 
 def _top(code: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
@@ -118,10 +121,8 @@ def _counts(train: DataFrame) -> DataFrame:
                 langs = np.array(part.column("lang").to_pylist(), object)
                 for lang in set(langs):
                     own = [seq[a[i] : e[i]] for i in np.flatnonzero(langs == lang)]
-                    # texts begin and end with 0, and grams across that seam have a doubled 0
-                    code, count = grams(np.concatenate(own))
-                    seam = ((code >> 21) & 0x1FFFFF == 0) & ((code & 0x1FFFFF == 0) | (code >> 42 == 0)) & (code >> 21 != 0) | (code & 0x3FFFFFFFFFF == 0)
-                    held.setdefault(lang, []).append((code[~seam], count[~seam]))
+                    code, count = grams(np.concatenate(own))  # texts begin and end with an edge, so no gram spans two
+                    held.setdefault(lang, []).append((code, count))
                     size += len(code)
                 if size > 4_000_000:
                     yield from flush()
