@@ -51,7 +51,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _profile(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, class) and slices of the sketch (kind 1: slice, counters)."""
+    """Rows of documents (kind 0: doc_id, key, n, class) and slices of the sketch (kind 1: slice, counters)."""
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +67,13 @@ def _profile(docs: DataFrame, k: int, bits: int) -> DataFrame:
                     at, c = np.unique(np.concatenate(some) >> np.uint64(64 - bits), return_counts=True)
                     counters[at.astype(np.int64)] += c.astype(np.uint32)
                 m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column("doc_id"), pa.array(n), pa.array(cls), pa.nulls(m, pa.binary())], ["kind", "doc_id", "n", "class", "counters"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column("doc_id"), part.column("key"), pa.array(n), pa.array(cls), pa.nulls(m, pa.binary())], ["kind", "doc_id", "key", "n", "class", "counters"])
         step = min(_SLICE, size)
         for i in range(0, size, step):
             if (c := counters[i : i + step]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([i], pa.int64()), pa.array([0], pa.int64()), pa.array([c.tobytes()], pa.binary())], ["kind", "doc_id", "n", "class", "counters"])
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([i], pa.int64()), pa.array([0], pa.int64()), pa.array([c.tobytes()], pa.binary())], ["kind", "doc_id", "key", "n", "class", "counters"])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, class long, counters binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, class long, counters binary")
 
 
 def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
@@ -284,14 +284,18 @@ def _verify(blocks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _set_rows(docs: DataFrame, k: int) -> DataFrame:
+    """comp, m, class, set of the rows whose text is of the class that they name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 at, cls, blob = [], [], []
+                named = part.column("class").to_numpy()
                 for i, s in _sets(part, data, offsets, k):
-                    at.append(i)
-                    cls.append(class_of(s))
-                    blob.append(s.tobytes())
+                    if class_of(s) == named[i]:
+                        at.append(i)
+                        cls.append(named[i])
+                        blob.append(s.tobytes())
                 if at:
                     yield pa.RecordBatch.from_arrays([part.column("comp").take(pa.array(at)), part.column("m").take(pa.array(at)), pa.array(cls, pa.int64()), pa.array(blob, pa.binary())], ["comp", "m", "class", "set"])
 
@@ -306,17 +310,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``n_links`` counts the links of the document's set to other sets. Shingles are compared by 64-bit hash.
 
     Null and empty texts, and texts of white space, have no shingle, link with nothing and are components
-    of their own. Rows that repeat an id give a row each. Rows with a null id keep it and never name a
-    component. An empty table gives an empty result. Only the two named columns are read.
+    of their own. Rows that repeat an id give a row each, with the links of their own text. Rows with a null id
+    keep it and never name a component, but link others; components of such rows alone have a null name. An empty table gives an empty result. Only the two named columns are read.
     """
     num, den = threshold
     spark = docs.sparkSession
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # rows are found again by a hash of id and text, as ids may be null or repeat
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     profile = cut(_profile(read, k, SKETCH_BITS))
-    ids = profile.where("kind = 0").select("doc_id", "n", "class")
+    ids = profile.where("kind = 0").select("doc_id", "key", "n", "class")
     total = ids.count()
     ranks = spark.sparkContext.broadcast(_sketch(profile, SKETCH_BITS))
-    classes = cut(ids.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")))
+    least_row = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("r")
+    classes = ids.where("n > 0").groupBy("class").agg(least_row, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
+    classes = cut(classes.select("class", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("key"), "rows", "n"))
 
     # about a quarter of the shingles are in prefixes; a task gets 2 million of them
     shingles = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -324,10 +331,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = _edges_of_tokens(_postings(read, k, ranks, SKETCH_BITS, num, den).repartition(parts, "token"))
     groups = cut(connected_components(near).withColumnRenamed("node", "class").withColumnRenamed("label", "comp"))
 
-    member = classes.join(groups.hint("merge"), "class").where("rep is not null")
+    member = classes.join(groups.hint("merge"), "class")
     mass = member.groupBy("comp").agg(F.sum("n").alias("m"))
-    chosen = cut(join_groups(member.select(F.col("rep").alias("doc_id"), "comp"), mass.withColumn("_size", F.col("m")), "comp", "_size", total).select("doc_id", "comp", "m").dropDuplicates(["doc_id"]))
-    sets = cut(_set_rows(semi_by_key(read, chosen, "doc_id", how="inner").select("text", "comp", "m"), k).dropDuplicates(["class"]))
+    chosen = cut(join_groups(member.select("key", "class", "comp"), mass.withColumn("_size", F.col("m")), "comp", "_size", total).select("key", "class", "comp", "m"))
+    sets = cut(_set_rows(semi_by_key(read, chosen, "key", how="inner").select("text", "comp", "m", "class"), k).dropDuplicates(["class"]))
     blocked = sets.withColumn("nb", F.ceil(F.col("m") / BLOCK_SHINGLES)).withColumn("b", F.pmod(F.xxhash64("class"), "nb"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
     pairs = blocked.select("comp", "class", "set", "b", other).select(
@@ -341,7 +348,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_n"))
     linked = join_groups(named, least, "root", "_n", total).select("class", "least").join(counted.hint("merge"), "class", "left")
     answer = classes.join(linked.hint("merge"), "class", "left").select("class", "rows", F.coalesce("least", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = join_groups(ids, answer, "class", "rows", total)
+    full = join_groups(ids.drop("key"), answer, "class", "rows", total)
     return full.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

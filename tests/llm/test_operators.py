@@ -233,8 +233,10 @@ def test_profiles_by_hand():
     seq, (a, e) = rank_profiles.letters(np.frombuffer(b"Ab, b", np.uint8), np.array([0, 5]))
     assert seq.tolist() == [0, 97, 98, 0, 98, 0] and (a[0], e[0]) == (0, 6)
     code, count = rank_profiles.grams(seq)
-    # "b" twice by itself, and once behind the space, which has the same code
-    assert sorted(count[code == 98].tolist()) == [1, 2] and 0 not in code
+    # "b" twice by itself and once behind an edge, which is another gram
+    edge = rank_profiles.EDGE
+    assert count[code == 98].tolist() == [2] and count[code == (edge << 21) + 98].tolist() == [1]
+    assert edge not in code and 0 not in code and len(set(code.tolist())) == len(code)
     both = rank_profiles.Profiles({"x": np.array([1, 2, 3]), "y": np.array([3, 2, 1])}, profile=3)
     assert both.langs == ["x", "y"] and both.rank[:, :3].tolist() == [[0, 1, 2], [2, 1, 0]]
 
@@ -358,3 +360,69 @@ def test_group_joins_answer_hot_and_cold_keys_alike(spark):
     want = {tuple(r) for r in rows.join(groups, "k").select("id", "k", "n", "m").collect()}
     for total in (500, 15_000_000):  # the larger one makes groups of 150 rows and more the hot ones
         assert {tuple(r) for r in join_groups(rows, groups, "k", "n", total).select("id", "k", "n", "m").collect()} == want
+
+
+def test_ngram_join_by_rows(spark):
+    """Rows that repeat an id keep the links of each text, and links lead through rows without an id."""
+    rng = random.Random(11)
+    a, b = prose(rng, 40), prose(rng, 40)
+    a2, b2 = a + " end", b + " end"
+    out = ngram_jaccard_join(spark.createDataFrame([(1, a), (7, a2), (2, b), (7, b2)], "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in out) == [1, 1, 2, 2] and all(r["n_links"] == 1 for r in out)
+    words_ = prose(rng, 40).split(" ")
+    first, middle, last = (" ".join(words_[i : i + 34]) for i in (0, 2, 4))
+    out = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(spark.createDataFrame([(5, first), (None, middle), (9, last), (None, "x y")], "doc_id long, text string")).collect() if r["n_shingles"] > 1}
+    assert out == {5: 5, None: 5, 9: 5}
+
+
+def test_license_recall(spark):
+    """Notices with words changed, in other text: all that exact containment accepts in a brute-force scan are found."""
+    rng = random.Random(12)
+    texts = {t: text for t, _, text in license_scan.TEMPLATES}
+    rows, want = [], set()
+    tokens = lambda t: [w for w in re.split(r"\s+", re.sub(r"[^\w\s.-]+|[.-]+(?!\w)|(?<!\w)[.-]+", " ", t.translate(FOLD))) if w]
+    sh = lambda x: {tuple(x[i : i + 3]) for i in range(max(1, len(x) - 2))}
+    for i in range(600):
+        name = rng.choice(sorted(texts))
+        rows.append((i, prose(rng, rng.randrange(40)) + " " + edited(rng, texts[name], rng.choice([0.01, 0.03, 0.06])) + " " + prose(rng, rng.randrange(40))))
+        if len(sh(tokens(texts[name])) & sh(tokens(rows[-1][1]))) >= 0.8 * len(sh(tokens(texts[name]))):
+            want.add((i, name))
+    rows += [(0, "again"), (0, "")]
+    got = {(r["doc_id"], r["template"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 200 and len(want - got) <= 0.01 * len(want)
+
+
+def brute_language(text, by_lang, miss, k):
+    """Out-of-place distances with grams as strings; "_" is a word's edge."""
+    word = "".join(c.lower() if c.isalpha() else "_" for c in text)
+    seq = re.sub("_+", "_", f"_{word}_")
+    count = {}
+    for n in (1, 2, 3):
+        for i in range(len(seq) - n + 1):
+            if seq[i : i + n] != "_":
+                count[seq[i : i + n]] = count.get(seq[i : i + n], 0) + 1
+    code = lambda g: sum((1 if c == "_" else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    top = sorted(count, key=lambda g: (-count[g], code(g)))[:k]
+    far = {lang: sum(min(miss, abs(p.index(g) - i)) if g in p else miss for i, g in enumerate(top)) for lang, p in by_lang.items()}
+    best = min(sorted(far), key=lambda x: far[x])
+    return best, 1 - far[best] / (miss * len(top))
+
+
+def test_out_of_place_by_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(rng.randrange(1, 6))) for _ in range(12)), lang) for i in range(60) for lang, a in [rng.choice([("x", "abcé"), ("y", "abdÖ"), ("z", "bcd")])]]
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 12)) for r in rank_profiles.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), profile=60, doc_profile=40).collect()}
+    counts = {}
+    code = lambda g: sum((1 if c == "_" else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            seq = "_" + re.sub("_+", "_", "".join(c.lower() if c.isalpha() else "_" for c in t)) + "_"
+            for n in (1, 2, 3):
+                for j in range(len(seq) - n + 1):
+                    if seq[j : j + n] != "_":
+                        c = counts.setdefault(lang, {})
+                        c[seq[j : j + n]] = c.get(seq[j : j + n], 0) + 1
+    profiles = {lang: sorted(c, key=lambda g: (-c[g], code(g)))[:60] for lang, c in counts.items()}
+    for i, t, _ in rows:
+        lang, score = brute_language(t, profiles, 60, 40)
+        assert got[i] == (lang, round(score, 12))
