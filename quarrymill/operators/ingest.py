@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import clean, content_id
@@ -15,6 +15,8 @@ from quarrymill.sources import files as source
 from quarrymill.store import Store, Tables, processing_text
 
 KEY = ["document_id", "extractor"]
+#: Paths of files to extract that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def processed_texts(tables: Tables, summary_model: str) -> DataFrame:
@@ -81,7 +83,8 @@ def save_paths(paths: DataFrame, seen: DataFrame) -> DataFrame:
     """Known paths are re-pointed and keep their number; new ones follow in order of path."""
     old = paths.select("path", "path_seq")
     top = paths.agg(F.coalesce(F.max("path_seq"), F.lit(-1)).alias("top"))
-    fresh = seen.join(old, "path", "left_anti").select("path").withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")))
+    # numbers rise with the path and need not be dense, so a range sort deals them without a single task
+    fresh = seen.join(old, "path", "left_anti").select("path").orderBy("path").withColumn("k", F.monotonically_increasing_id() + 1)
     numbered = fresh.crossJoin(F.broadcast(top)).select("path", (F.col("top") + F.col("k")).alias("path_seq"))
     now = seen.select("document_id", "path", "file_size", "modified_at").join(old.unionByName(numbered), "path")
     return paths.join(seen.select("path"), "path", "left_anti").unionByName(now.select(*paths.columns))
@@ -94,12 +97,15 @@ def scan(store: Store, root: str, extractor: Callable[[bytes, str], str] = sourc
     keeps an earlier text. ``postprocess`` gets the tables, the keys of the texts to derive anew, and ``Store.stage`` for what it reads again.
     """
     spark, tables = store.spark, store.tables()
-    listing = source.list_files(spark, root)
+    listing = source.list_files(spark, root, content=False)
     ready = processed_texts(tables, summary_model).select("document_id") if summary_model else tables["texts"].select("document_id")
     marked = diff_listing(listing, tables["paths"], ready).persist()
     work = marked.where("outcome <> 'unchanged'")
-    # equal bytes are extracted once
-    read = source.extract(work.select("document_id", "extension", "content").dropDuplicates(["document_id"]), extractor).persist()
+    # equal bytes are extracted once, from the first of their paths; only the files that need it are held with their bytes
+    once = work.groupBy("document_id").agg(F.min("path").alias("path")).withColumnRenamed("document_id", "_id")
+    held = source.list_files(spark, root).join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "path")
+    read = source.extract(held.select(F.col("_id").alias("document_id"), "extension", "content", (F.col("document_id") != F.col("_id")).alias("moved")), extractor)
+    read = read.withColumn("status", F.when(F.col("moved"), "error").otherwise(F.col("status"))).withColumn("error", F.when(F.col("moved"), "the file changed during the scan").otherwise(F.col("error"))).drop("moved").persist()
     good = read.where("status = 'ok'")
     had = tables["texts"].select("document_id").distinct()
     failed = read.where("status = 'error'").select("document_id", "extension")

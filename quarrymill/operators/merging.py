@@ -56,7 +56,7 @@ def merge_stores(target: Store, sources: list[Store]) -> int:
     """Merge sources in order; the number of their documents. The target itself is skipped, a missing store is an error."""
     seen = 0
     for store in sources:
-        if store.path == target.path:
+        if store.resolved() == target.resolved():
             continue
         if not store.exists():
             raise FileNotFoundError(store.path)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: The suffixes that are taken.
 SUFFIXES = (".pdf", ".doc", ".docx", ".docm", ".xls", ".xlsx", ".xlsm", ".xlsb", ".ppt", ".pptx", ".pptm", ".txt", ".md", ".rtf", ".eml", ".msg")
+PLAIN = (".eml", ".txt", ".md")
+#: The languages of OCR unless others are asked for.
+OCR_LANGUAGES = ("jpn", "en")
 
 
 @dataclass(frozen=True)
@@ -21,7 +24,7 @@ class ExtractionConfig:
 
     ocr_enabled: bool = True
     ocr_backend: str | None = None
-    ocr_languages: tuple[str, ...] = ("jpn", "eng")
+    ocr_languages: tuple[str, ...] = OCR_LANGUAGES
     force_ocr: bool = False
 
     def __post_init__(self) -> None:
@@ -57,6 +60,23 @@ def decode(content: bytes, extension: str) -> str:
     raise ValueError(f"no extractor for {extension}")
 
 
+@dataclass(frozen=True)
+class Decoder:
+    """The built-in extractor with its options; ``plugin`` (content, extension, options) takes what the decoders do not."""
+
+    config: ExtractionConfig = ExtractionConfig()
+    plugin: Callable[[bytes, str, ExtractionConfig], str] | None = None
+
+    def __call__(self, content: bytes, extension: str) -> str:
+        if extension in PLAIN and not self.config.force_ocr:
+            return decode(content, extension)
+        if self.plugin:
+            return self.plugin(content, extension, self.config)
+        if extension in PLAIN:  # forced, but there is nothing to see in plain text
+            return decode(content, extension)
+        raise ValueError(f"no extractor for {extension}")
+
+
 def extract(files: DataFrame, extractor: Callable[[bytes, str], str] = decode) -> DataFrame:
     """``files`` with status (ok or error), extracted_text and error in place of content; a bad file fails alone."""
 

@@ -1,7 +1,8 @@
-"""A store: Parquet snapshots of its tables and a pointer that is swapped at commit."""
+"""A store: Parquet snapshots of its tables and numbered manifests that name them."""
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from quarrymill.functions.text import clean, content_id, work_key
 from quarrymill.schema import KEYS, SCHEMAS
 
 Tables = dict[str, DataFrame]
+#: Commits of which the snapshots stay, so that those who read the one before the newest can go on.
+KEEP = 2
 
 
 class Store:
@@ -19,28 +22,42 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._staged: dict[int, tuple[DataFrame, str]] = {}
+        self._seen: dict[str, str | None] = {}
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/CURRENT"))
+    def _versions(self) -> list[int]:
+        """Numbers of the manifests there are, whole or not, the newest first."""
+        here = self._path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(here)] if self._fs.exists(here) else []
+        return sorted((int(n.removeprefix("MANIFEST.")) for n in names if n.startswith("MANIFEST.") and n[9:].isdigit()), reverse=True)
+
+    def _lines(self, version: int) -> dict[str, str] | None:
+        """A manifest; None if its writer stopped before the last line."""
+        rows = self.spark.read.text(f"{self.path}/MANIFEST.{version}", wholetext=True).collect()
+        lines = rows[0][0].splitlines() if rows else []
+        return dict(line.split("\t") for line in lines[:-1]) if lines[-1:] == ["end"] else None
 
     def _manifest(self) -> dict[str, str]:
-        if not self.exists():
-            return {}
-        rows = self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).collect()
-        return dict(line.split("\t") for line in rows[0][0].splitlines()) if rows else {}
+        """The newest whole manifest."""
+        return next(filter(lambda m: m is not None, map(self._lines, self._versions())), {})
+
+    def exists(self) -> bool:
+        return bool(self._manifest())
 
     def read(self, name: str) -> DataFrame:
         """The table with all columns of its schema; columns that an older snapshot lacks are null."""
-        where = self._manifest().get(name)
-        if where is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self._at(name, where)
+        return self._read(name, self._manifest())
+
+    def _read(self, name: str, manifest: dict[str, str]) -> DataFrame:
+        where = self._seen[name] = manifest.get(name)
+        return self.spark.createDataFrame([], SCHEMAS[name]) if where is None else self._at(name, where)
 
     def tables(self) -> Tables:
-        return {name: self.read(name) for name in SCHEMAS}
+        """All tables as of one commit."""
+        manifest = self._manifest()
+        return {name: self._read(name, manifest) for name in SCHEMAS}
 
     def _at(self, name: str, where: str) -> DataFrame:
         df = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{where}")
@@ -59,30 +76,50 @@ class Store:
         return staged
 
     def commit(self, tables: Tables) -> None:
-        """Point to snapshots of the given tables, written unless staged already; the others stay."""
-        manifest = self._manifest()
-        for name, df in tables.items():
-            if id(df) not in self._staged:
-                df = self.stage(name, df)
-            manifest[name] = self._staged[id(df)][1]
-        self._staged.clear()
-        text = "\n".join(f"{k}\t{v}" for k, v in sorted(manifest.items()))
-        new = self._path(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
-        out = self._fs.create(new)
+        """Point to snapshots of the given tables, written unless staged already; the others stay.
+
+        A commit is one new numbered manifest, made only if no other has its number, so a stop at any time leaves the
+        commit before it. A table that another writer has replaced since it was read here is an error.
+        """
+        names = {name: self._staged[id(df)][1] if id(df) in self._staged else self._staged[id(self.stage(name, df))][1] for name, df in tables.items()}
+        versions, manifest = self._versions(), self._manifest()
+        lost = [name for name in names if name in self._seen and manifest.get(name) != self._seen[name]]
+        if lost:
+            for _, where in self._staged.values():
+                self._fs.delete(self._path(f"{self.path}/{where}"), True)
+            self._staged.clear()
+            raise RuntimeError(f"another writer has committed since {', '.join(lost)} were read")
+        text = "\n".join([*(f"{k}\t{v}" for k, v in sorted((manifest | names).items())), "end"])
+        out = self._fs.create(self._path(f"{self.path}/MANIFEST.{versions[0] + 1 if versions else 1}"), False)
         out.write(bytearray(text.encode()))
         out.close()
-        current, old = self._path(f"{self.path}/CURRENT"), self._path(f"{self.path}/PREVIOUS")
-        if self._fs.exists(current):
-            self._fs.delete(old, False)
-            self._fs.rename(current, old)
-        self._fs.rename(new, current)
+        self._seen |= names
+        self._staged.clear()
+        self._collect()
+
+    def _collect(self) -> None:
+        """Remove manifests older than the ``KEEP`` newest whole ones, and the snapshots that only they name."""
+        known = [(v, self._lines(v)) for v in self._versions()]
+        whole = [v for v, m in known if m is not None][:KEEP]
+        kept = {where for v, m in known if v >= whole[-1] and m for where in m.values()}
+        for v, m in known:
+            if v < whole[-1]:
+                for where in set((m or {}).values()) - kept:
+                    self._fs.delete(self._path(f"{self.path}/{where}"), True)
+                self._fs.delete(self._path(f"{self.path}/MANIFEST.{v}"), False)
 
     def init(self) -> None:
-        """Make missing tables and fill columns that older snapshots lack; derivatives of texts that cleaning changes go."""
+        """Make missing tables and fill columns that older snapshots lack; derivatives of texts that cleaning changes go.
+
+        A store that lacks nothing is left as it is.
+        """
         if not self.exists():
             self.commit({name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()})
             return
         tables = self.tables()
+        bare = tables["texts"].where("cleaned_text is null or content_hash is null").isEmpty()
+        if bare and tables["summaries"].where("work_key is null").isEmpty():
+            return
         texts, changed = backfill_texts(tables["texts"])
         stale = changed.select("document_id", "extractor")
         done = {"texts": texts, "summaries": backfill_summaries(tables["summaries"]).join(stale, ["document_id", "extractor"], "left_anti")}
@@ -90,6 +127,11 @@ class Store:
             done[name] = tables[name].join(stale, ["document_id", "extractor"], "left_anti")
         self.commit(done)
 
+    def resolved(self) -> str:
+        """The store's place, the same however it is written."""
+        full = self._fs.makeQualified(self._path(self.path)).toUri()
+        return os.path.realpath(full.getPath()) if full.getScheme() == "file" else full.normalize().toString()
+
 
 def backfill_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts with cleaned_text and content_hash filled in, and those of them whose cleaning changed the text."""
