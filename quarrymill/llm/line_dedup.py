@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.cluster import BROADCAST_ROWS, cut, join_groups, written
-from quarrymill.llm.exact_dedup import fold_ascii
+from quarrymill.llm.exact_dedup import LOWER, UPPER, fold_ascii
 
 #: Lines of fewer characters are left alone by default; the query and the pipeline let every line with a word take part.
 MIN_CHARS, EVERY_LINE = 30, 1
@@ -279,9 +279,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, lines_removed (their numbers in order), n_kept_chars, kept_sha256 (of the text that stays) for each document."""
+    """doc_id, n_lines, lines_removed (their numbers in order, by commas), n_kept_chars, kept_sha256 (of the text that stays) for each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = _with_gone(docs, "doc_id", "text", (NUM, DEN), EVERY_LINE).withColumn("lines", F.split("text", "\n"))
     left = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(_kept("lines"))
-    out = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("_line_gone", F.array().cast("array<int>")).alias("lines_removed"), left.alias("t"))
+    out = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.array_join("_line_gone", ","), F.lit("")).alias("lines_removed"), left.alias("t"))
     return out.select("doc_id", "n_lines", "lines_removed", F.length("t").cast("long").alias("n_kept_chars"), F.sha2("t", 256).alias("kept_sha256"))
+
+
+#: By brute force over all words that two lines share.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM d),
+w AS (SELECT doc_id, line_no, list_distinct(list_filter(string_split(translate(line, '{UPPER}' || chr(9) || chr(11) || chr(12) || chr(13), '{LOWER}    '), ' '), lambda t: t <> '')) AS s FROM l),
+n AS (SELECT doc_id, line_no, s, len(s) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS k FROM w WHERE len(s) > 0),
+t AS (SELECT k, n, unnest(s) AS word FROM n),
+p AS (SELECT a.k FROM t a JOIN t b ON a.word = b.word AND b.k < a.k AND 3 * greatest(a.n, b.n) <= 4 * least(a.n, b.n) GROUP BY a.k, b.k, a.n, b.n HAVING 7 * count(*) >= 3 * (a.n + b.n)),
+g AS (SELECT doc_id, line_no FROM n WHERE k IN (SELECT k FROM p)),
+o AS (SELECT l.doc_id, count(*) AS n_lines, string_agg(l.line_no::VARCHAR, ',' ORDER BY l.line_no) FILTER (g.line_no IS NOT NULL) AS gone, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (g.line_no IS NULL) AS kept
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY 1)
+SELECT doc_id, n_lines, coalesce(gone, '') AS lines_removed, length(coalesce(kept, '')) AS n_kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM o
+"""

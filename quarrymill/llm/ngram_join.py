@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.cluster import cut, join_groups, semi_by_key, width
 from quarrymill.llm.components import connected_components
+from quarrymill.llm.exact_dedup import LOWER, UPPER
 from quarrymill.llm.words import Words, mix, signed, slices
 
 #: log2 of the counters of the sketch: 4 MB however large the corpus.
@@ -302,6 +303,11 @@ def _set_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "comp long, m long, class long, set binary")
 
 
+def _row_key(id_col: str, text_col: str):
+    """Rows are found again by a hash of id and text, as ids may be null or repeat."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
 
@@ -313,10 +319,32 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of their own. Rows that repeat an id give a row each, with the links of their own text. Rows with a null id
     keep it and never name a component, but link others; components of such rows alone have a null name. An empty table gives an empty result. Only the two named columns are read.
     """
+    return _joined(docs, id_col, text_col, k, threshold).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, ids that are null last; all columns as they are.
+
+    Of rows that repeat an id, one stays if their texts link, and one of those that repeat the text as well. Rows
+    without a word are no copies of each other and all stay. An empty table gives an empty result.
+    """
+    found = _joined(docs, id_col, text_col, k, threshold)
+    gone = cut(found.where(~F.col("kept")).select(F.col("key").alias("_row_key")).distinct())
+    rows = docs.withColumn("_row_key", _row_key(id_col, text_col))
+    rows = semi_by_key(rows, gone, "_row_key", how="left_anti")
+    again = cut(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(F.col("key").alias("_row_key")))
+    n = again.count()
+    if n:
+        once = semi_by_key(rows, again, "_row_key", n, how="left_anti")
+        rows = once.unionByName(semi_by_key(rows, again, "_row_key", n).dropDuplicates(["_row_key"]).select(*once.columns))
+    return rows.select(*docs.columns)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """The columns of ``ngram_jaccard_join``, key of the row, and kept: it stands for its component, or has no shingle."""
     num, den = threshold
     spark = docs.sparkSession
-    # rows are found again by a hash of id and text, as ids may be null or repeat
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", _row_key("doc_id", "text"))
     profile = cut(_profile(read, k, SKETCH_BITS))
     ids = profile.where("kind = 0").select("doc_id", "key", "n", "class")
     total = ids.count()
@@ -344,18 +372,37 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     forest = links.where("kind = 0").select("u", "v")
     counted = links.where("kind = 1").groupBy(F.col("u").alias("class")).agg(F.sum("v").alias("n_links"))
     comps = connected_components(forest).withColumnRenamed("node", "class").withColumnRenamed("label", "root")
-    named = comps.join(classes.select("class", "rep").hint("merge"), "class")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_n"))
-    linked = join_groups(named, least, "root", "_n", total).select("class", "least").join(counted.hint("merge"), "class", "left")
-    answer = classes.join(linked.hint("merge"), "class", "left").select("class", "rows", F.coalesce("least", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = join_groups(ids.drop("key"), answer, "class", "rows", total)
+    named = comps.join(classes.select("class", "rep", "key").hint("merge"), "class")
+    first = F.min(F.struct(F.isnull("rep").alias("none"), "rep", "key"))
+    least = named.groupBy("root").agg(first.alias("least"), F.count(F.lit(1)).alias("_n"))
+    linked = join_groups(named.drop("rep", "key"), least, "root", "_n", total).select("class", "least").join(counted.hint("merge"), "class", "left")
+    answer = classes.join(linked.hint("merge"), "class", "left")
+    answer = answer.select("class", "rows", F.coalesce("least.rep", "rep").alias("component_id"), F.coalesce("least.key", "key").alias("keep"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    full = join_groups(ids, answer, "class", "rows", total)
     return full.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "key",
+        ((F.col("n") == 0) | (F.col("key") == F.col("keep"))).alias("kept"),
     )
 
 
+#: By brute force over all shingles; components by recursion.
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS class FROM s),
+t AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, b.class <> a.class AS other, b.class FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS near FROM n UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.near),
+m AS (SELECT doc_id, min(near) AS component_id FROM r GROUP BY 1),
+k AS (SELECT x AS doc_id, count(DISTINCT class) FILTER (other) AS n_links FROM l GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links FROM n JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op8_line_dedup": line_dedup.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL}

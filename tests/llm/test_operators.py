@@ -17,7 +17,7 @@ from quarrymill.llm.components import connected_components
 from quarrymill.llm.decontamination import benchmark_matches, decontaminate
 from quarrymill.llm.exact_dedup import exact_dedup
 from quarrymill.llm.line_dedup import line_dedup, repeated_lines
-from quarrymill.llm.ngram_join import ngram_jaccard_join
+from quarrymill.llm.ngram_join import ngram_jaccard_join, one_of_each
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, c int, kind string, word string"
@@ -142,7 +142,7 @@ def test_short_lines_take_part(spark, tmp_path):
     texts = ["All rights reserved.\n\nPage\nred green blue cyan", "all rights reserved.\n\n  \nred green blue\nPages", "  \nAll rights\nPage\n" + " " * 40, " " * 40]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     gone = {0: [], 1: [0, 3], 2: [2], 3: []}
-    assert {r["doc_id"]: r["lines_removed"] for r in op8_line_dedup(spark, str(tmp_path)).collect()} == gone
+    assert {r["doc_id"]: [int(x) for x in r["lines_removed"].split(",") if x] for r in op8_line_dedup(spark, str(tmp_path)).collect()} == gone
     out = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(texts)}
 
@@ -426,3 +426,52 @@ def test_out_of_place_by_brute_force(spark):
     for i, t, _ in rows:
         lang, score = brute_language(t, profiles, 60, 40)
         assert got[i] == (lang, round(score, 12))
+
+
+def test_one_of_each(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = [(4, a), (4, a), (2, a + " end"), (7, b), (7, b + " end"), (None, b), (9, ""), (9, ""), (5, None), (6, "x y")]
+    docs_ = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key long")
+    out = one_of_each(docs_)
+    assert out.columns == docs_.columns
+    kept = sorted(r["key"] for r in out.collect())
+    assert len(kept) == 6 and kept[0] == 2 and kept[1] in (3, 4) and kept[2:] == [6, 7, 8, 9]
+    assert one_of_each(docs_.where("false")).count() == 0
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows that repeat an id and its text share their fate; other rows that repeat an id are told apart."""
+    rows = [(1, "one two three four\nfive six seven eight"), (1, "one two three four\nfive six seven eight"), (3, "five six seven eight\nnew line of words"), (3, "nine ten eleven twelve\nfive six seven eight"), (None, "one two three four")]
+    out = line_dedup(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, tag int"), min_chars=1)
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in out.collect()) == sorted([(1, rows[0][1]), (1, rows[0][1]), (3, "new line of words"), (3, "nine ten eleven twelve"), (0, "one two three four")])
+
+
+def test_lines_with_heavy_words(spark, monkeypatch):
+    """All words over the limit for light ones, so centres and what they leave do all the work."""
+    monkeypatch.setattr("quarrymill.llm.line_dedup._LIGHT", 4)
+    rng = random.Random(15)
+    base = [prose(rng, 24, 60) for _ in range(6)]
+    rows = ["\n".join(edited(rng, rng.choice(base), rng.choice([0, 0.04, 0.08, 0.2])) for _ in range(4)) for _ in range(60)]
+    got = {(r["doc_id"], r["line_no"]) for r in repeated_lines(spark.createDataFrame([(i * 3, t) for i, t in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
+@pytest.mark.parametrize("name", ["op8_line_dedup", "op9_exact_dedup", "op10_ngram_join"])
+def test_queries_same_as_sql(spark, name):
+    import duckdb
+
+    from quarrymill.llm import queries
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    df, want = queries.queries()[name](spark, "/root/testdata/sf0.001"), con.sql(queries.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    columns = sorted(df.columns)
+    assert sorted(map(str, df.select(columns).collect())) == sorted(str(r) for r in [spark_row(columns, x) for x in want.select(*columns).fetchall()])
+
+
+def spark_row(columns, values):
+    from pyspark.sql import Row
+
+    return Row(**dict(zip(columns, values, strict=True)))
