@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.bradley_terry import keep_good
-from quarrymill.llm.cluster import cut, semi_by_key, written
+from quarrymill.llm.cluster import written
 from quarrymill.llm.decontamination import decontaminate
 from quarrymill.llm.line_dedup import EVERY_LINE, line_dedup
-from quarrymill.llm.ngram_join import ngram_jaccard_join
+from quarrymill.llm.ngram_join import one_of_each
 from quarrymill.llm.raking import sample_to_targets
 
 #: Share of the tokens that the mix keeps.
@@ -32,10 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; documents without words stay."""
-    found = ngram_jaccard_join(docs)
-    copies = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return semi_by_key(docs, copies, "doc_id", how="left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates, once if its row is repeated; documents without words stay."""
+    return one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
