@@ -106,7 +106,9 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     every = cut(known.select(F.explode(F.col("tsh")).alias("s")).distinct().agg(F.collect_list("s").alias("every"), F.count(F.lit(1)).alias("n")))
     sets = _with_shingles(read, "text", "sh")
     if every.first()["n"] <= CARRIED:
-        sets = sets.where(F.arrays_overlap("sh", every.select("every").scalar()))
+        # not a filter: Spark would apply it before the shingles are a column, and work them out anew for each word
+        held = F.when(F.arrays_overlap("sh", every.select("every").scalar()), F.array(F.lit(True)))
+        sets = sets.select("*", F.explode(held).alias("held")).drop("held")
     sets, drop = written(sets)
     met = banded(sets, "sh")
     met = cut(met.join(F.broadcast(keyed) if n_keys <= BROADCAST_ROWS else keyed, "key").select("doc_id", "row", "template", "window").distinct())
