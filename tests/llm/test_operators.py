@@ -282,11 +282,11 @@ def test_mixing(spark, empty):
 
 
 def test_raking_as_steps_gives_the_same(spark):
-    """A sparse table that needs over 30 rounds, with capped cells, a null, a value without tokens and one without a share."""
+    """Both paths after as many rounds: a sparse table, with capped cells, a null, a value without tokens and one without a share."""
     cells = [("a", "x", "p", 900), ("a", "y", "p", 40), ("b", "y", "p", 500), ("b", "x", "q", 40), ("c", "y", "q", 300), ("c", "x", "q", 90), ("d", "y", "q", 20), ("d", "x", "p", 9), (None, "x", "p", 9), (None, "y", "q", 70), ("e", "y", "q", 0)]
     d = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1)
     targets = {"source": {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.1, None: 0.1, "none": 0.4}, "topic": {"p": 2, "q": 1}}
-    here, spread = ({tuple(r)[:3]: (r["weight"], r["probability"]) for r in f(d, targets, 0.6).collect()} for f in (raking._factors_here, raking._factors_spread))
+    here, spread = ({tuple(r)[:3]: (r["weight"], r["probability"]) for r in f(d, targets, 0.6, rounds=12).collect()} for f in (raking._factors_here, raking._factors_spread))
     assert set(here) == set(spread) and any(p == 1 for _, p in here.values()) and any(p < 1 for _, p in here.values())
     for k, v in here.items():
         assert np.allclose(v, spread[k], rtol=1e-8, atol=1e-12), (k, v, spread[k])
@@ -475,3 +475,25 @@ def spark_row(columns, values):
     from pyspark.sql import Row
 
     return Row(**dict(zip(columns, values, strict=True)))
+
+
+def test_probabilities_meet_the_marginals(spark):
+    """Even targets for sources and languages of very different size: what documents hold is taken in the shares wanted."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(["w"] * rng.randrange(20, 200)), lang, f"s{rng.randrange(3)}") for i, lang in enumerate(rng.choices(["en", "de", "fr"], [16, 4, 1], k=3000))]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for keep in (0.25, 0.6):
+        out = raking.mix_to_targets(docs_, keep_share=keep, topic=F.lit("t"))
+        held = {r["lang"]: (r["n"], r["p"]) for r in out.groupBy("lang").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("p")).collect()}
+        total = sum(n for n, _ in held.values())
+        # fr cannot give a third of the sample, nor can de of the larger one: all of them stay, and the others make up
+        want = dict.fromkeys(held, 0.0)
+        room = {k: n for k, (n, _) in held.items()}
+        while abs(keep * total - sum(want.values())) > 1e-6 * total:
+            free = [k for k in want if want[k] < room[k]]
+            left = (keep * total - sum(want.values())) / len(free)
+            want |= {k: min(room[k], want[k] + left) for k in free}
+        assert want["fr"] == room["fr"] and (want["de"] == room["de"]) == (keep == 0.6)
+        assert all(abs(p - want[k]) < 0.01 * want[k] for k, (_, p) in held.items())
+        by_source = [r["p"] for r in out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("p")).collect()]
+        assert max(by_source) - min(by_source) < 0.01 * max(by_source)
