@@ -362,7 +362,13 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tupl
     member = classes.join(groups.hint("merge"), "class")
     mass = member.groupBy("comp").agg(F.sum("n").alias("m"))
     chosen = cut(join_groups(member.select("key", "class", "comp"), mass.withColumn("_size", F.col("m")), "comp", "_size", total).select("key", "class", "comp", "m"))
-    sets = cut(_set_rows(semi_by_key(read, chosen, "key", how="inner").select("text", "comp", "m", "class"), k).dropDuplicates(["class"]))
+    source = semi_by_key(read, chosen, "key", how="inner")
+    # a class is read from one row; only rows that repeat an id and its text have more, and only they are shuffled to drop the rest
+    again = cut(semi_by_key(ids, chosen.select("key"), "key").groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"))
+    n_again = again.count()
+    if n_again:
+        source = semi_by_key(source, again, "key", n_again, how="left_anti").unionByName(semi_by_key(source, again, "key", n_again).dropDuplicates(["key"]))
+    sets = _set_rows(source.select("text", "comp", "m", "class"), k)
     blocked = sets.withColumn("nb", F.ceil(F.col("m") / BLOCK_SHINGLES)).withColumn("b", F.pmod(F.xxhash64("class"), "nb"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
     pairs = blocked.select("comp", "class", "set", "b", other).select(
