@@ -497,3 +497,22 @@ def test_probabilities_meet_the_marginals(spark):
         assert all(abs(p - want[k]) < 0.01 * want[k] for k, (_, p) in held.items())
         by_source = [r["p"] for r in out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("p")).collect()]
         assert max(by_source) - min(by_source) < 0.01 * max(by_source)
+
+
+def test_pipeline_on_odd_rows(spark, texts, tmp_path):
+    """Every stage takes nulls in any column, empty and blank texts, repeated rows, a long text, extra columns, and no rows at all."""
+    import corpus_pipeline
+
+    rows = [(i * 3, t, ["en", "de", None][i % 3], ["a", None][i % 2], None if t is None else len(t), "x", i) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "no id at all here", "en", "a", 3, None, 1), (None, None, None, None, None, None, None)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, key string, h int"
+    table = spark.createDataFrame(rows, kinds)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(rows[:60])] + [(None, 1, None), (0, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "What is the sum of 12 apples and 7 pears in the basket?"), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for start in (table, spark.createDataFrame([], kinds)):
+            out = stage(spark, start, str(tmp_path))
+            assert out.columns == table.columns, name
+            n = out.count()
+            assert n <= start.count() and (n or start is not table), name
