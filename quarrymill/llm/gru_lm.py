@@ -7,6 +7,7 @@ of the class's counts (one unseen word in each included). So every token has a p
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,8 @@ WARM_TOKENS, WARM_ROUNDS = 300_000, 3
 TRAIN_TOKENS, TRAIN_LANES = 4_000_000, 128
 _SHAPES = 96
 _END = np.int64(0x5E4D0F7A11C3B29)
-_WINDOW = 24
+#: Steps of a window, and of one that few lanes are left in.
+_WINDOW, _LONGEST = 24, 384
 _LN10 = np.log(10.0)
 
 
@@ -114,174 +116,222 @@ class Network:
         self.p["bv"][:] = np.where(by_class > 0, np.log(by_class + 1e-9), -30.0)
         self.p["bv"] -= self.p["bv"].max(1, keepdims=True)
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        g = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        q = g[:, 2 * HIDDEN :] + self.p["b"]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * q)
-        return n + z * (h - n), z, r, q, n
+    def run(self, given: np.ndarray, begin: np.ndarray, live: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
+        """States of a window and what backpropagation needs of them. Step t holds the first ``live[t]`` lanes, and steps stand one after the other."""
+        p, n = self.p, len(given)
+        x = np.take(p["x"], given, axis=0)
+        kept = {k: np.empty((n, size * HIDDEN), x.dtype) for k, size in (("h", 1), ("prev", 1), ("zr", 2), ("q", 1), ("n", 1))}
+        s = 0
+        for k in live:
+            at = slice(s, s + k)
+            prev, zr, q, new, out = (kept[name][at] for name in ("prev", "zr", "q", "n", "h"))
+            prev[:] = h[:k]
+            if begin[at].any():
+                prev[begin[at]] = 0
+            g = prev @ p["u"]
+            np.add(x[at, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.add(g[:, 2 * HIDDEN :], p["b"], out=q)
+            np.multiply(zr[:, HIDDEN:], q, out=new)
+            new += x[at, 2 * HIDDEN :]
+            np.tanh(new, out=new)
+            np.subtract(prev, new, out=out)
+            out *= zr[:, :HIDDEN]
+            out += new
+            h = out
+            s += k
+        return kept
+
+    def back(self, kept: dict[str, np.ndarray], begin: np.ndarray, live: np.ndarray, dout: np.ndarray, grads: dict) -> np.ndarray:
+        """Gradients of a window by those of its states; returns the ones of its inputs."""
+        prev, n, q = kept["prev"], kept["n"], kept["q"]
+        z, r = kept["zr"][:, :HIDDEN], kept["zr"][:, HIDDEN:]
+        dn = (1 - z) * (1 - n * n)
+        # what a state's gradient is times, for each gate
+        by = np.stack([(prev - n) * z * (1 - z), dn * q * r * (1 - r), dn * r], axis=1)
+        g, all_dh = np.empty((len(n), 3, HIDDEN), n.dtype), np.empty_like(n)
+        dh, ut = np.zeros((live[0], HIDDEN), n.dtype), np.ascontiguousarray(self.p["u"].T)
+        s = len(n)
+        for k in live[::-1]:
+            s -= k
+            at, d = slice(s, s + k), dh[:k]
+            d += dout[at]
+            all_dh[at] = d
+            np.multiply(by[at], d[:, None, :], out=g[at])
+            d *= z[at]
+            d += g[at].reshape(k, 3 * HIDDEN) @ ut
+            if begin[at].any():
+                d[begin[at]] = 0
+        flat = g.reshape(-1, 3 * HIDDEN)
+        grads["u"], grads["b"] = prev.T @ flat, g[:, 2].sum(0)
+        np.multiply(all_dh, dn, out=g[:, 2])
+        return flat
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log-probabilities of targets (class, and word within it if it is one); gradients go to ``grads``."""
         cls = np.where(target < VOCABULARY, target // PER_CLASS, target - VOCABULARY + CLASSES)
-        a = h @ self.p["wc"] + self.p["bc"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1, keepdims=True)
-        rows = np.arange(len(h))
-        out = (a[rows, cls] - np.log(s[:, 0])).astype(np.float64)
-        dh = None
-        if grads is not None:
-            d = e / s
-            d[rows, cls] -= 1
-            grads["wc"], grads["bc"] = h.T @ d, d.sum(0)
-            grads["wv"], grads["bv"] = np.zeros_like(self.p["wv"]), np.zeros_like(self.p["bv"])
-            dh = d @ self.p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
-                continue
-            a = h[at] @ self.p["wv"][c] + self.p["bv"][c]
+        order = np.argsort(cls, kind="stable")  # by class, so those of each stand together
+        h, cls, target = np.take(h, order, axis=0), cls[order], target[order]
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        there = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+
+        def softmax(a: np.ndarray, k: np.ndarray) -> np.ndarray:
+            """Log-probabilities of ``k``; ``a`` becomes the gradient."""
+            rows = np.arange(len(a))
             a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            s = e.sum(1, keepdims=True)
-            k = (np.arange(len(at)), target[at] - c * PER_CLASS)
-            out[at] += a[k] - np.log(s[:, 0])
+            own = a[rows, k]
+            np.exp(a, out=a)
+            total = a.sum(1, keepdims=True)
             if grads is not None:
-                d = e / s
-                d[k] -= 1
-                grads["wv"][c], grads["bv"][c] = h[at].T @ d, d.sum(0)
-                dh[at] += d @ self.p["wv"][c].T
+                a /= total
+                a[rows, k] -= 1
+            return own - np.log(total[:, 0])
+
+        a = h @ self.p["wc"]
+        a += self.p["bc"]
+        lp = softmax(a, cls).astype(np.float64)
+        words = edges[CLASSES]
+        b = np.take(self.p["bv"], cls[:words], axis=0)
+        for c, at in there:
+            b[at] += h[at] @ self.p["wv"][c]
+        lp[:words] += softmax(b, target[:words] % PER_CLASS)
+        out = np.empty_like(lp)
+        out[order] = lp
+        if grads is None:
+            return out, None
+        grads["wc"], grads["bc"] = h.T @ a, a.sum(0)
+        grads["wv"], grads["bv"] = np.zeros_like(self.p["wv"]), np.zeros_like(self.p["bv"])
+        d = a @ self.p["wc"].T
+        for c, at in there:
+            grads["wv"][c], grads["bv"][c] = h[at].T @ b[at], b[at].sum(0)
+            d[at] += b[at] @ self.p["wv"][c].T
+        dh = np.empty_like(d)
+        dh[order] = d
         return out, dh
 
 
-def _lanes(bounds: np.ndarray, lanes: int) -> list[list[int]]:
-    """Texts dealt to lanes of like length, the longest first; lanes come longest first."""
-    import heapq
-
-    length = np.diff(bounds)
-    heap = [(0, k) for k in range(min(lanes, len(length)))]
-    out: list[list[int]] = [[] for _ in heap]
-    for i in np.argsort(-length, kind="stable"):
-        size, k = heapq.heappop(heap)
-        out[k].append(int(i))
-        heapq.heappush(heap, (size + int(length[i]), k))
-    return sorted(out, key=lambda x: -sum(int(length[i]) for i in x))
-
-
-def _laid_out(ids: np.ndarray, bounds: np.ndarray, lanes: int):
-    """Time-major targets, text starts and text numbers of the lanes, and each lane's length."""
-    deal = _lanes(bounds, lanes)
-    size = np.array([sum(int(bounds[i + 1] - bounds[i]) for i in lane) for lane in deal])
-    target = np.zeros((int(size.max(initial=0)), len(deal)), np.int32)
-    begin = np.zeros(target.shape, bool)
-    text = np.zeros(target.shape, np.int32)
-    for k, lane in enumerate(deal):
-        at = 0
-        for i in lane:
-            n = int(bounds[i + 1] - bounds[i])
-            target[at : at + n, k] = ids[bounds[i] : bounds[i + 1]]
-            begin[at, k] = True
-            text[at : at + n, k] = i
-            at += n
-    return target, begin, text, size
+@dataclass
+class Lanes:
+    """Texts dealt to lanes of like length and read side by side: the tokens of step 0 of all lanes, then those of step 1.
+
+    Lanes stand longest first, so those that still run at a step are the first ones, and no place is left empty.
+    """
+
+    token: np.ndarray  # number of the token that stands at a place
+    live: np.ndarray  # lanes of each step
+    at: np.ndarray  # first place of each step, and the end
+    count: int
+
+    @classmethod
+    def of(cls, bounds: np.ndarray, lanes: int) -> Lanes:
+        length = np.diff(bounds)
+        heap = [(0, k) for k in range(min(lanes, len(length)))]
+        deal: list[list[int]] = [[] for _ in heap]
+        for i in np.argsort(-length, kind="stable").tolist():
+            size, k = heap[0]
+            deal[k].append(i)
+            heapq.heapreplace(heap, (size + int(length[i]), k))
+        sizes = np.zeros(len(deal), np.int64)
+        for size, k in heap:
+            sizes[k] = size
+        longest = np.argsort(-sizes, kind="stable")
+        sizes = sizes[longest]
+        texts = np.array([i for k in longest for i in deal[k]], np.int64)
+        n = length[texts]
+        token = np.repeat(bounds[texts] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes.max(initial=0)), "right")
+        at = np.concatenate([[0], np.cumsum(live)])
+        step = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        laid = np.empty(len(token), np.int64)
+        laid[at[step] + np.repeat(np.arange(len(sizes)), sizes)] = token
+        return cls(laid, live, at, len(sizes))
+
+    def windows(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Places and lanes by step of each window. Where few lanes are left windows are longer, so they hold tokens enough to learn from."""
+        t, steps = 0, len(self.live)
+        while t < steps:
+            end = min(steps, t + min(_LONGEST, max(_WINDOW, _WINDOW * self.count // int(self.live[t]))))
+            yield slice(int(self.at[t]), int(self.at[end])), self.live[t:end]
+            t = end
+
+
+def _laid_out(ids: np.ndarray, bounds: np.ndarray, end: int, lanes: int) -> tuple[Lanes, np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes, and at each place the token to foresee, the one before it, and whether a text begins."""
+    laid = Lanes.of(bounds, lanes)
+    first = np.zeros(len(ids), bool)
+    first[bounds[:-1]] = True
+    begin = first[laid.token]
+    return laid, ids[laid.token], np.where(begin, end, ids[laid.token - 1]), begin
 
 
 def score_texts(net: Network, ids: np.ndarray, bounds: np.ndarray, end: int, lanes: int = 256) -> np.ndarray:
     """log10 probability of the classes and vocabulary words of each text; the state passes from window to window."""
     n = len(bounds) - 1
-    out = np.zeros(n)
-    target, begin, text, size = _laid_out(ids, bounds, lanes)
-    h = np.zeros((len(size), HIDDEN), np.float32)
-    last = np.full(len(size), end, np.int32)
-    for t0 in range(0, len(target), _WINDOW):
-        live = int((size > t0).sum())
-        h, last = h[:live], last[:live]
-        t1 = min(len(target), t0 + _WINDOW)
-        states = np.empty((t1 - t0, live, HIDDEN), np.float32)
-        for t in range(t0, t1):
-            new = begin[t, :live]
-            if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
-                last = np.where(new, end, last)
-            h = net.step(net.p["x"][last], h)[0]
-            states[t - t0] = h
-            last = target[t, :live]
-        there = np.arange(t0, t1)[:, None] < size[:live]
-        lp, _ = net.output(states[there], target[t0:t1, :live][there])
-        out += np.bincount(text[t0:t1, :live][there], weights=lp, minlength=n)
-    return out / _LN10
+    laid, target, given, begin = _laid_out(ids, bounds, end, lanes)
+    text = np.repeat(np.arange(n), np.diff(bounds))[laid.token]
+    lp = np.zeros(len(ids))
+    h = np.zeros((laid.count, HIDDEN), np.float32)
+    for at, live in laid.windows():
+        states = net.run(given[at], begin[at], live, h)["h"]
+        h = states[len(states) - live[-1] :]
+        lp[at] = net.output(states, target[at])[0]
+    return np.bincount(text, weights=lp, minlength=n) / _LN10
 
 
 class Trainer:
-    """Adam over truncated windows of lanes of texts."""
+    """Adam over truncated windows of lanes of texts; of the input table only the rows that a window holds are moved."""
 
     def __init__(self, net: Network, rate: float = 0.004):
         self.net, self.rate, self.t = net, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.rows = np.zeros(0, np.int64)
 
     def fit(self, ids: np.ndarray, bounds: np.ndarray, end: int, lanes: int = 64) -> float:
         """One pass; returns the mean natural log-probability of a token."""
-        target, begin, _, size = _laid_out(ids, bounds, lanes)
-        p, total, count = self.net.p, 0.0, 0
-        h = np.zeros((len(size), HIDDEN), np.float32)
-        last = np.full(len(size), end, np.int32)
-        for t0 in range(0, len(target), _WINDOW):
-            live = int((size > t0).sum())
-            h, last = h[:live], last[:live]
-            t1 = min(len(target), t0 + _WINDOW)
-            kept, states = [], []
-            for t in range(t0, t1):
-                new = begin[t, :live]
-                h = np.where(new[:, None], np.float32(0), h)
-                last = np.where(new, end, last)
-                prev = h
-                h, z, r, q, n = self.net.step(p["x"][last], prev)
-                kept.append((last, prev, z, r, q, n, new))
-                states.append(h)
-                last = target[t, :live]
-            there = np.arange(t0, t1)[:, None] < size[:live]
+        laid, target, given, begin = _laid_out(ids, bounds, end, lanes)
+        total, inputs = 0.0, np.zeros_like(self.net.p["x"])
+        h = np.zeros((laid.count, HIDDEN), np.float32)
+        for at, live in laid.windows():
+            kept = self.net.run(given[at], begin[at], live, h)
+            states = kept["h"]
+            h = states[len(states) - live[-1] :]
             grads: dict[str, np.ndarray] = {}
-            lp, dflat = self.net.output(np.stack(states)[there], target[t0:t1, :live][there], grads)
-            total, count = total + lp.sum(), count + len(lp)
-            dout = np.zeros((t1 - t0, live, HIDDEN), np.float32)
-            dout[there] = dflat
-            dx, at = np.zeros((t1 - t0, live, 3 * HIDDEN), np.float32), np.zeros((t1 - t0, live), np.int64)
-            dg = np.empty(dx.shape, p["u"].dtype)
-            dh = np.zeros((live, HIDDEN), np.float32)
-            for k in range(t1 - t0 - 1, -1, -1):
-                last_k, prev, z, r, q, n, new = kept[k]
-                dh = dh + dout[k]
-                dn = dh * (1 - z) * (1 - n * n)
-                dq, dr = dn * r, dn * q * r * (1 - r)
-                dz = dh * (prev - n) * z * (1 - z)
-                g = dg[k]
-                g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = dz, dr, dq
-                dx[k, :, : 2 * HIDDEN], dx[k, :, 2 * HIDDEN :], at[k] = g[:, : 2 * HIDDEN], dn, last_k
-                dh = np.where(new[:, None], np.float32(0), dh * z + g @ p["u"].T)
-            grads["u"] = np.concatenate([x[1] for x in kept]).T @ dg.reshape(-1, 3 * HIDDEN)
-            grads["b"] = dg[:, :, 2 * HIDDEN :].sum((0, 1))
-            order = np.argsort(at.ravel(), kind="stable")
-            rows, first = np.unique(at.ravel()[order], return_index=True)
-            grads["x"] = np.zeros_like(p["x"])
-            grads["x"][rows] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first)
-            self._update(grads, 1 / max(1, len(lp)))
-        return total / max(1, count)
+            lp, dout = self.net.output(states, target[at], grads)
+            total += lp.sum()
+            dx = self.net.back(kept, begin[at], live, dout, grads)
+            order = np.argsort(given[at], kind="stable")
+            self.rows, first = np.unique(given[at][order], return_index=True)
+            inputs[self.rows] = np.add.reduceat(np.take(dx, order, axis=0), first)
+            grads["x"] = inputs
+            self._update(grads, 1 / len(lp))
+            inputs[self.rows] = 0
+        return total / max(1, len(ids))
 
     def _update(self, grads: dict[str, np.ndarray], scale: float) -> None:
         self.t += 1
-        norm = scale * float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
+        grads = grads | {"x": grads["x"][self.rows]}
+        norm = scale * float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
         scale *= min(1.0, 1.0 / max(norm, 1e-12))
+        up, by = np.float32(self.rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.995**self.t))
         for k, g in grads.items():
-            g = g * np.float32(scale)
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.005) * (g * g - self.v[k])
-            up = np.float32(self.rate / (1 - 0.9**self.t))
-            self.net.p[k] -= up * self.m[k] / (np.sqrt(self.v[k] / np.float32(1 - 0.995**self.t)) + np.float32(1e-6))
+            own = (self.rows,) if k == "x" else (slice(None),)
+            m, v = self.m[k][own], self.v[k][own]
+            g *= np.float32(scale)
+            m += np.float32(0.1) * (g - m)
+            np.square(g, out=g)
+            v += np.float32(0.005) * (g - v)
+            if k == "x":
+                self.m[k][own], self.v[k][own] = m, v
+            np.multiply(v, by, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= up
+            self.net.p[k][own] -= g
 
 
 @dataclass
