@@ -30,6 +30,8 @@ WARM_TOKENS, WARM_ROUNDS = 300_000, 3
 TRAIN_TOKENS, TRAIN_LANES = 4_000_000, 128
 _SHAPES = 96
 _END = np.int64(0x5E4D0F7A11C3B29)
+#: Logits up to this size need no shift before they are raised.
+_SAFE = 60.0
 #: Steps of a window, and of one that few lanes are left in.
 _WINDOW, _LONGEST = 24, 384
 _LN10 = np.log(10.0)
@@ -178,26 +180,29 @@ class Network:
         edges = np.searchsorted(cls, np.arange(CLASSES + 1))
         there = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
-        def softmax(a: np.ndarray, k: np.ndarray) -> np.ndarray:
-            """Log-probabilities of ``k``; ``a`` becomes the gradient."""
+        def softmax(a: np.ndarray, k: np.ndarray, most: float) -> np.ndarray:
+            """Log-probabilities of ``k``; ``a``, whose size ``most`` bounds, becomes the gradient."""
             rows = np.arange(len(a))
-            a -= a.max(1, keepdims=True)
+            if not most < _SAFE:
+                a -= a.max(1, keepdims=True)
             own = a[rows, k]
             np.exp(a, out=a)
-            total = a.sum(1, keepdims=True)
+            total = a @ np.ones(a.shape[1], a.dtype)
             if grads is not None:
-                a /= total
+                a *= (1 / total)[:, None]
                 a[rows, k] -= 1
-            return own - np.log(total[:, 0])
+            return own - np.log(total)
 
+        # states lie within -1 and 1
+        bound = lambda w, b: float((np.abs(self.p[w]).sum(-2) + np.abs(self.p[b])).max())
         a = h @ self.p["wc"]
         a += self.p["bc"]
-        lp = softmax(a, cls).astype(np.float64)
+        lp = softmax(a, cls, bound("wc", "bc")).astype(np.float64)
         words = edges[CLASSES]
         b = np.take(self.p["bv"], cls[:words], axis=0)
         for c, at in there:
             b[at] += h[at] @ self.p["wv"][c]
-        lp[:words] += softmax(b, target[:words] % PER_CLASS)
+        lp[:words] += softmax(b, target[:words] % PER_CLASS, bound("wv", "bv"))
         out = np.empty_like(lp)
         out[order] = lp
         if grads is None:
