@@ -340,6 +340,23 @@ def test_network_learns_from_every_text(spark):
     assert net.seen == sum(len(words(t)) + 1 for t in texts)
 
 
+def test_scores_do_not_hang_on_lanes():
+    """Texts score alike whatever lanes and windows they fall into, also where logits are too large to go without a shift."""
+    rng = np.random.default_rng(5)
+    size = np.array([1, 900, 3, 40, 1, 77, 250, 2])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    ids = rng.integers(0, gru_lm.VOCABULARY + gru_lm._SHAPES, bounds[-1]).astype(np.int32)
+    net = gru_lm.Network(seed=4)
+    one_by_one = [gru_lm.score_texts(net, ids[a:b], np.array([0, b - a]), 1)[0] for a, b in itertools.pairwise(bounds)]
+    for lanes in (1, 2, 5, 256):
+        assert np.allclose(gru_lm.score_texts(net, ids, bounds, 1, lanes), one_by_one, rtol=1e-5)
+    laid = gru_lm.Lanes.of(bounds, 3)
+    assert sorted(laid.token) == list(range(bounds[-1])) and laid.live.sum() == bounds[-1] and (np.diff(laid.live) <= 0).all()
+    net.p["bc"] += 200
+    assert np.allclose(gru_lm.score_texts(net, ids, bounds, 1), one_by_one, rtol=1e-4)
+    assert len(gru_lm.score_texts(net, ids[:0], np.zeros(1, np.int64), 1)) == 0
+
+
 def test_probabilities_sum_to_one():
     net = gru_lm.Network()
     h = np.random.default_rng(2).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
