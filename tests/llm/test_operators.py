@@ -341,7 +341,7 @@ def test_network_learns_from_every_text(spark):
 
 
 def test_scores_do_not_hang_on_lanes():
-    """Texts score alike whatever lanes and windows they fall into, also where logits are too large to go without a shift."""
+    """Texts score alike whatever lanes and windows they fall into, also with large logits."""
     rng = np.random.default_rng(5)
     size = np.array([1, 900, 3, 40, 1, 77, 250, 2])
     bounds = np.concatenate([[0], np.cumsum(size)])
