@@ -5,11 +5,15 @@ Steps, none of which emits the pairs of a group:
 1. Each document becomes a set of shingle hashes; documents with the same set are one class.
 2. A count sketch of fixed size over the shingles of all documents gives the order, rare first. Shingles
    that share a counter share a rank and go on by hash, so the order is total and the filters stay exact.
-3. Each shingle of a prefix says which set sizes a partner may have if this is the first shingle both
-   hold (length and positional filter). Two sets can only link if these ranges meet, so the sets with a
-   common prefix shingle split into runs of meeting ranges. Tasks reduce their rows to such runs before
-   the shuffle, and runs are reduced once more after it: a shingle of a hot group costs a row a task.
-4. Runs give candidate groups. Their sets are compared once per pair, in blocks of bounded size, with the
+3. Sets that differ in d shingles and link hold at least 3d in common, so in that order two of these follow
+   each other with none of the d between: a pair of neighbours that both sets have. Long texts meet in single
+   shingles by chance, ever more of them as the corpus grows, but hardly in such pairs. (Thresholds under 3/4
+   do not give such pairs, and go by single shingles.)
+4. Each pair of a prefix says which set sizes a partner may have if this is the first pair both hold (length
+   and positional filter). Two sets can only link if these ranges meet, so the sets with a common prefix pair
+   split into runs of meeting ranges. Tasks reduce their postings to such runs before the shuffle, and runs
+   are reduced once more after it: a pair of a hot group costs a posting a task. Postings are shuffled packed.
+5. Runs give candidate groups. Their sets are compared once per pair, in blocks of bounded size, with the
    suffix filter ahead of the exact count; only a spanning forest of the links and link counts leave a task.
 """
 
@@ -31,7 +35,11 @@ from quarrymill.llm.words import Words, mix, signed, slices
 SKETCH_BITS = 20
 _SLICE = 1 << 14
 #: Postings that a task gathers before it reduces them.
-_GATHER = 1 << 21
+_GATHER = 1 << 20
+#: Bits of a pair's hash and of a class's name in a posting; what coincides so only makes candidates.
+_TOKEN, _CLASS = 40, 48
+#: Shingles of the sets whose postings (about half as many) are dealt to one bucket.
+_BUCKET = 2_000_000
 #: Shingles that a block of a candidate group holds about.
 BLOCK_SHINGLES = 400_000
 
@@ -72,6 +80,7 @@ def _profile(docs: DataFrame, k: int, bits: int) -> DataFrame:
         step = min(_SLICE, size)
         for i in range(0, size, step):
             if (c := counters[i : i + step]).any():
+                c = c.astype(np.min_scalar_type(c.max()))
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([i], pa.int64()), pa.array([0], pa.int64()), pa.array([c.tobytes()], pa.binary())], ["kind", "doc_id", "key", "n", "class", "counters"])
 
     return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, class long, counters binary")
@@ -83,7 +92,7 @@ def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(min(_SLICE, 1 << bits), np.int64)
         for c in table.column("counters"):
-            total += np.frombuffer(c.as_buffer(), np.uint32)
+            total += np.frombuffer(c.as_buffer(), f"u{len(c.as_buffer()) // len(total)}")  # as narrow as its task could
         top = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
         return pa.table({"n": table.column("n").slice(0, 1), "counters": pa.array([top.tobytes()], pa.binary())})
 
@@ -100,7 +109,7 @@ def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
 def _runs(token: np.ndarray, low: np.ndarray, high: np.ndarray, cls: np.ndarray):
     """Runs of meeting ranges of each token: (token, low, high, a class) and the edges that tie each run together."""
     order = np.lexsort((low, token))
-    token, low, high, cls = token[order], low[order], high[order], cls[order]
+    token, low, high, cls = token[order], low[order].astype(np.int64), high[order].astype(np.int64), cls[order]
     n = len(token)
     new = np.ones(n, bool)
     new[1:] = token[1:] != token[:-1]
@@ -128,18 +137,64 @@ def _distinct_edges(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, b
 
 
-_POSTING = "kind int, token long, low long, high long, class long"
+def _size_code(x: np.ndarray) -> np.ndarray:
+    """Sizes in 12 bits, in the same order; those from 256 on in steps of under 1 %."""
+    return ((np.maximum(x, 1).astype(np.float32).view(np.int32) >> 16) - (127 << 7)).astype(np.uint16)
 
 
-def _rows(kind: int, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(cols[0]), 100_000):
-        part = [c[i : i + 100_000] for c in cols]
-        part += [np.zeros(len(part[0]), np.int64)] * (4 - len(part))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *map(pa.array, part)], ["kind", "token", "low", "high", "class"])
+def _packed(token: np.ndarray, low: np.ndarray, high: np.ndarray, cls: np.ndarray) -> bytes:
+    """Postings in 14 bytes each: 40 bits of token, 12 of each size, 48 of class."""
+    sizes = (low.astype(np.uint64) << np.uint64(12)) | high.astype(np.uint64)
+    first = (token.astype(np.uint64) << np.uint64(24)) | sizes
+    name = cls.astype(np.uint64)
+    return first.tobytes() + (name >> np.uint64(16)).astype(np.uint32).tobytes() + name.astype(np.uint16).tobytes()
 
 
-def _postings(docs: DataFrame, k: int, ranks, bits: int, num: int, den: int) -> DataFrame:
-    """Runs of prefix shingles (kind 0) and edges between classes that a task found already (kind 1)."""
+def _unpacked(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(blob) // 14
+    first = np.frombuffer(blob, np.int64, n).view(np.uint64)
+    name = (np.frombuffer(blob, np.uint32, n, 8 * n).astype(np.int64) << 16) | np.frombuffer(blob, np.uint16, n, 12 * n)
+    low, high = ((first >> np.uint64(k)).astype(np.int64) & 4095 for k in (12, 0))
+    return (first >> np.uint64(24)).astype(np.int64), low, high, name
+
+
+def _name(cls):
+    """The bits of a class that postings hold."""
+    return F.shiftrightunsigned(cls, 64 - _CLASS)
+
+
+def by_pairs(num: int, den: int) -> bool:
+    """Whether sets that link and differ always have neighbours in common."""
+    return num >= 3 * (den - num)
+
+
+def _prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the prefix of a set, rarest first, and the largest partner each allows as the first common one.
+
+    For single shingles, J >= num/den needs an overlap of num * (n + m) / (num + den), m the partner's size. For pairs:
+    before the first common pair each common shingle is followed by one that only one set has, so at place i there
+    are at most D + (n - overlap) shingles of this set before it, D = n + m - 2 * overlap.
+    """
+    n = len(s)
+    least = (num * n + den - 1) // den
+    if by_pairs(num, den):
+        most = min(n - 1, max(0, (n * (2 * den - num) - least * (2 * num - den)) // (num + den) + 1))
+        if most <= 0:
+            return s[:0], np.zeros(0, np.int64)
+        order = np.argsort(rank, kind="stable")[: most + 1]
+        token = s[order[:-1]] + s[order[1:]] * np.uint64(0xD1342543DE82EF95)
+        high = (n * (2 * den - num) - np.arange(most, dtype=np.int64) * (num + den)) // (2 * num - den)
+        high = np.minimum(high, n * den // num)
+    else:
+        most = n - least + 1
+        token = s[np.argsort(rank, kind="stable")[:most]]
+        high = (num + den) * (n - np.arange(len(token), dtype=np.int64)) // num - n
+    ok = high >= least
+    return token[ok], high[ok]
+
+
+def _postings(docs: DataFrame, k: int, ranks, bits: int, num: int, den: int, buckets: int) -> DataFrame:
+    """By bucket, packed: runs of prefix tokens (runs), and pairs of class names that a task tied already (edges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = ranks.value
@@ -147,10 +202,26 @@ def _postings(docs: DataFrame, k: int, ranks, bits: int, num: int, den: int) ->
         size, seen = 0, set()
 
         def flush():
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            runs, (u, v) = _runs(*cols)
-            yield from _rows(0, *runs)
-            yield from _rows(1, *_distinct_edges(u, v))
+            token, low, high, cls = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            token = mix(token)
+            bucket = ((token & np.uint64(0xFFFFFF)) * np.uint64(buckets)) >> np.uint64(24)
+            key = ((bucket << np.uint64(_TOKEN)) | (token >> np.uint64(64 - _TOKEN))).astype(np.int64)
+            (key, low, high, cls), (u, v) = _runs(key, low, high, cls)
+            u, v = _distinct_edges(u, v)
+            at = key >> _TOKEN
+            tied = (u % buckets).astype(np.int64)
+            order = np.argsort(tied, kind="stable")
+            tied, ends = tied[order], np.stack([u, v], 1)[order]
+            some = np.union1d(at, tied)
+            bounds = [np.append(np.searchsorted(x, some), len(x)) for x in (at, tied)]
+            for j in range(0, len(some), 64):
+                runs, edges = [], []
+                for i in range(j, min(j + 64, len(some))):
+                    a, b = bounds[0][i : i + 2]
+                    runs.append(_packed(key[a:b] & ((1 << _TOKEN) - 1), low[a:b], high[a:b], cls[a:b]))
+                    edges.append(ends[slice(*bounds[1][i : i + 2])].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(some[j : j + 64], pa.int32()), pa.array(runs, pa.binary()), pa.array(edges, pa.binary())], ["bucket", "runs", "edges"])
 
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
@@ -161,56 +232,32 @@ def _postings(docs: DataFrame, k: int, ranks, bits: int, num: int, den: int) ->
                     seen.add(cls)
                     if len(seen) > 1_000_000:
                         seen.clear()
-                    n = len(s)
-                    # J >= num/den needs an overlap of num * (n + m) / (num + den); m the partner's size
-                    most = n - (num * n + den - 1) // den + 1
-                    rank = count[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                    if most < n:
-                        cutoff = np.partition(rank, most - 1)[most - 1]
-                        near = np.flatnonzero(rank <= cutoff)
-                        order = near[np.argsort(rank[near], kind="stable")][:most]
-                    else:
-                        order = np.argsort(rank, kind="stable")
-                    pos = np.arange(len(order), dtype=np.int64)
-                    high = (num + den) * (n - pos) // num - n
-                    ok = high >= (num * n + den - 1) // den
+                    token, high = _prefix(s, count[(s >> np.uint64(64 - bits)).astype(np.int64)], num, den)
                     # sizes n and m may pair where n is within the partner's reach and m within this one's; a
                     # reach below n leaves the partners whose range holds it, so the range is that one point
-                    m = int(ok.sum())
-                    if m:
-                        held.append((signed(s[order[ok]]), np.minimum(n, high[ok]), high[ok], np.full(m, cls, np.int64)))
-                        size += m
+                    if len(token):
+                        held.append((token, _size_code(np.minimum(len(s), high)), _size_code(high), np.full(len(token), (cls % (1 << 64)) >> (64 - _CLASS), np.int64)))
+                        size += len(token)
                     if size >= _GATHER:
                         yield from flush()
-                        held, size = [], 0
+                        size = 0
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, _POSTING)
+    return docs.mapInArrow(run, "bucket int, runs binary, edges binary")
 
 
 def _edges_of_tokens(found: DataFrame) -> DataFrame:
-    """Edges that tie the runs of each shingle together, and those that tasks found before."""
+    """Edges that tie the runs of each token together, and those that tasks found before."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for b in batches:
-            early = b.column("kind").to_numpy() == 1
-            token, low, high, cls = (b.column(name).to_numpy() for name in ("token", "low", "high", "class"))
-            u.append(token[early])
-            v.append(low[early])
-            for c, x in zip(cols, (token, low, high, cls), strict=True):
-                c.append(x[~early])
-        if cols[0]:
-            _, (s, t) = _runs(*(np.concatenate(c) for c in cols))
-            u.append(s)
-            v.append(t)
-        a, b = _distinct_edges(np.concatenate(u), np.concatenate(v))
-        for i in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["u", "v"])
-
-    return found.mapInArrow(run, "u long, v long")
+    def run(table: pa.Table) -> pa.Table:
+        cols = [np.concatenate(c) for c in zip(*(_unpacked(b.as_buffer()) for b in table.column("runs")), strict=True)]
+        early = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in table.column("edges")]).reshape(-1, 2)
+        u, v = _runs(*cols)[1] if len(cols[0]) else (np.zeros(0, np.int64),) * 2
+        u, v = _distinct_edges(np.concatenate([u, early[:, 0]]), np.concatenate([v, early[:, 1]]))
+        return pa.table({"u": u, "v": v})
+
+    return found.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
 def _link(sets: list[np.ndarray], left: int, num: int, den: int, same: bool):
@@ -353,13 +400,13 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tupl
     classes = ids.where("n > 0").groupBy("class").agg(least_row, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
     classes = cut(classes.select("class", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("key"), "rows", "n"))
 
-    # about a quarter of the shingles are in prefixes; a task gets 2 million of them
+    # about half of the shingles start a posting; a task gets 4 million of them, in four buckets
     shingles = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(width(spark), -(-shingles // 8_000_000))
-    near = _edges_of_tokens(_postings(read, k, ranks, SKETCH_BITS, num, den).repartition(parts, "token"))
-    groups = cut(connected_components(near).withColumnRenamed("node", "class").withColumnRenamed("label", "comp"))
+    parts = max(width(spark), -(-shingles // (4 * _BUCKET)))
+    near = _edges_of_tokens(_postings(read, k, ranks, SKETCH_BITS, num, den, 4 * parts).repartition(parts, "bucket"))
+    groups = cut(connected_components(near).withColumnRenamed("node", "name").withColumnRenamed("label", "comp"))
 
-    member = classes.join(groups.hint("merge"), "class")
+    member = classes.withColumn("name", _name("class")).join(groups.hint("merge"), "name").drop("name")
     mass = member.groupBy("comp").agg(F.sum("n").alias("m"))
     chosen = cut(join_groups(member.select("key", "class", "comp"), mass.withColumn("_size", F.col("m")), "comp", "_size", total).select("key", "class", "comp", "m"))
     source = semi_by_key(read, chosen, "key", how="inner")

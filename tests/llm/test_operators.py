@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from quarrymill.llm.components import connected_components
 from quarrymill.llm.decontamination import benchmark_matches, decontaminate
 from quarrymill.llm.exact_dedup import exact_dedup
 from quarrymill.llm.line_dedup import line_dedup, repeated_lines
-from quarrymill.llm.ngram_join import ngram_jaccard_join, one_of_each
+from quarrymill.llm.ngram_join import _packed, _prefix, _size_code, _unpacked, ngram_jaccard_join, one_of_each
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, c int, kind string, word string"
@@ -109,6 +110,46 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert got == brute_components(texts, list(range(40)))
 
 
+def test_ngram_join_candidates_do_not_chain(spark, monkeypatch):
+    """Long unrelated texts share shingles by chance; they are not one candidate group, while near copies among them are found."""
+    seen = []
+    monkeypatch.setattr("quarrymill.llm.ngram_join.connected_components", lambda edges: seen.append(connected_components(edges)) or seen[-1])
+    rng = random.Random(3)
+    monkeypatch.setattr("quarrymill.llm.ngram_join.SKETCH_BITS", 4)  # as full as on a large corpus
+    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(1500)) for _ in range(60)]
+    texts += [edited(rng, t, 0.01) for t in texts[:5]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute_components(texts, list(range(len(texts))))
+    assert max(r["count"] for r in seen[0].groupBy("label").count().collect()) <= 6
+
+
+@pytest.mark.parametrize("threshold", [(3, 4), (4, 5), (9, 10), (1, 2)])
+def test_prefix_meets_every_link(threshold):
+    """Sets that link and differ share a token of their prefixes whose sizes allow the other, in any order of the shingles."""
+    num, den = threshold
+    rng = np.random.default_rng(4)
+    for _ in range(4000):
+        common = rng.integers(1, 30)
+        apart = int(common * (den - num) // num)
+        left = rng.integers(0, apart + 1)
+        if not apart:
+            continue
+        every = rng.permutation(rng.integers(0, 1 << 63, common + apart, dtype=np.uint64))
+        a, b = np.sort(every[: common + left]), np.sort(np.concatenate([every[:common], every[common + left :]]))
+        rank = lambda s: (s >> np.uint64(60)).astype(np.uint32)
+        (t, h), (u, g) = _prefix(a, rank(a), num, den), _prefix(b, rank(b), num, den)
+        x, y = dict(zip(t.tolist(), h.tolist(), strict=True)), dict(zip(u.tolist(), g.tolist(), strict=True))
+        assert any(x[k] >= len(b) and y[k] >= len(a) for k in x.keys() & y.keys())
+
+
+def test_postings_pack_and_unpack():
+    rng = np.random.default_rng(1)
+    cols = rng.integers(0, 1 << 40, 500), rng.integers(0, 4096, 500), rng.integers(0, 4096, 500), rng.integers(0, 1 << 48, 500)
+    assert all((a == b).all() for a, b in zip(cols, _unpacked(pa.py_buffer(_packed(*cols))), strict=True))
+    sizes = np.arange(1, 1 << 16)
+    assert (np.diff(_size_code(sizes).astype(int)) >= 0).all() and _size_code(np.array([2**31 - 1])).max() < 4096
+
+
 def brute_lines(texts):
     seen, gone = [], set()
     for i, t in enumerate(texts):
