@@ -7,10 +7,12 @@ line (by document id, then place) matches it.
 1. Equal lines are settled by a 128-bit hash; only the first of them goes on.
 2. A sketch of fixed size counts the words of all lines. It gives the order, and it bounds from above how many lines
    hold a word: words of one line are left out, and the others are light (``LIGHT`` lines or fewer) or heavy.
-3. Light words are joined as they are: one shuffle of the prefix words, read by both sides, with the length, positional
-   and parity filters inside the join, so a word yields a bounded number of pairs for each of its lines.
-4. A heavy word first meets the earliest of its lines only. Lines that find no match so are compared with all earlier
-   lines of their heavy words, so large groups of near copies do not yield their pairs.
+3. Copies of a line are settled before any pairs are made: a line meets the earliest line of each of its heavy words,
+   and the first and the last one before it among the lines that share the least or the largest hash of its light
+   prefix words. So groups of near copies do not yield their pairs.
+4. Lines that find no match so are compared with all earlier lines of their prefix words. Light words are joined as they
+   are: one shuffle, read by both sides, with the length, positional and parity filters inside the join; settled lines
+   carry a mark there and yield no pairs, while others still meet them.
 5. Candidates are verified on the words themselves: the likeliest partner of each line first, the others for those
    lines alone that it did not settle.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.cluster import BROADCAST_ROWS, cut, join_groups, written
@@ -42,6 +44,8 @@ _KEYS, _HOT = 2 * BROADCAST_ROWS, 50_000
 NUM, DEN = 3, 4
 #: Bits that a word's place takes beside the line's words, and that a row of a repeated id has for its tag.
 _POS, _TAG = 24, 37
+#: Stands above the words of a settled line; no line is so long that it reaches there.
+_SETTLED = 1 << 38
 
 
 def _rank(count: Column) -> Column:
@@ -98,7 +102,7 @@ def _later_copies(lines: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
 def _sketch(rows: DataFrame) -> DataFrame:
     """One row: the rank of each counter, twice the log2 of its words in all texts, as an array of bytes."""
     words = rows.select(F.explode(F.split(F.replace(_folded(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t"))
-    counts = words.select(F.pmod(F.xxhash64("t"), F.lit(SKETCH)).cast("int").alias("k")).groupBy("k").count()
+    counts = words.select(F.xxhash64("t").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("k")).groupBy("k").count()
     every = rows.sparkSession.range(SKETCH).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("count"))
     dense = counts.unionByName(every).groupBy("k").agg(_rank(F.max("count")).cast("tinyint").alias("r"))
     parts = dense.groupBy(F.shiftright("k", int(math.log2(_SLICE))).alias("s")).agg(F.sort_array(F.collect_list(F.struct("k", "r")))["r"].alias("r"))
@@ -117,7 +121,7 @@ def _sets(lines: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
     """doc_id, at, n (number of words), par, hi (parity maps) and prefix: words as longs, 7 bits of rank and 56 of hash, the rarest first."""
 
     def word(h: Column) -> Column:
-        rank = F.get(F.col("ranks"), F.pmod(h, F.lit(SKETCH)).cast("int")).cast("long")
+        rank = F.get(F.col("ranks"), h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")).cast("long")
         return F.coalesce(F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))  # never null, and so sorted as plain longs
 
     none = F.xxhash64(F.lit(""))  # what stands between two blanks
@@ -138,8 +142,11 @@ def _postings(sets: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def _filters(a, b, num: int, den: int) -> tuple[Column, Column]:
-    """Whether line ``b`` is earlier than ``a`` and the length, positional and parity filters let the two through; and their distance in the parity maps."""
-    n, m = (F.shiftrightunsigned(s("np"), _POS) for s in (a, b))
+    """Whether line ``b`` is earlier than ``a`` and the length, positional and parity filters let the two through; and their distance in the parity maps.
+
+    The mark of a settled line makes it too long to match as ``a``, and is taken off as ``b``.
+    """
+    n, m = F.shiftrightunsigned(a("np"), _POS), F.shiftrightunsigned(b("np"), _POS).bitwiseAND(F.lit(_SETTLED - 1))
     i, j = (s("np").bitwiseAND(F.lit((1 << _POS) - 1)) for s in (a, b))
     differ = lambda f: F.bit_count(f(a).bitwiseXOR(f(b)))
     apart = F.when(F.least(n, m) >= LONG, differ(lambda s: s("hi")) + differ(lambda s: s("par").bitwiseXOR(s("hi")))).otherwise(differ(lambda s: s("par")))
@@ -156,11 +163,30 @@ def _pairs(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFram
 
 
 def _head_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
-    """The same for lines of heavy words with the first line of the word, ``c``."""
+    """The same for lines with one earlier line each, ``c``."""
     passed, apart = _filters(F.col, lambda c: F.col(f"c.{c}"), num, den)
     return met.where(passed).select("doc_id", "at", F.col("c.doc_id").alias("d2"), F.col("c.at").alias("a2"), apart.alias("apart"))
 
 
+def _near_copies(sets: DataFrame) -> DataFrame:
+    """Lines with an earlier one, ``c``: the first, and the last before it, that share the least or the largest hash of its light prefix words."""
+    rank = lambda w: F.shiftrightunsigned(w, 56)
+    hashes = F.transform("prefix", lambda w: F.when((rank(w) > _ONCE) & (rank(w) <= _LIGHT), F.shiftleft(w, 8)))
+    line = ["doc_id", "at", F.shiftleft(F.col("n").cast("long"), _POS).alias("np"), "par", "hi"]
+    keyed = sets.select(*line, hashes.alias("h")).select("doc_id", "at", "np", "par", "hi", F.explode(F.array_distinct(F.array(F.array_min("h"), F.array_max("h")))).alias("key"))
+    order = Window.partitionBy("key").orderBy("doc_id", "at")
+    one = F.struct("doc_id", "at", "np", "par", "hi")
+    met = keyed.where("key is not null").select("*", F.first(one).over(order).alias("first"), F.lag(one).over(order).alias("last"))
+    return met.where("last is not null").select("doc_id", "at", "np", "par", "hi", F.explode(F.array_distinct(F.array("first", "last"))).alias("c"))
+
+
+def _settled(sets: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """``sets`` with ``n`` marked for the lines in ``found``."""
+    there = found.select("doc_id", "at", F.lit(_SETTLED).alias("mark"))
+    marked = sets.join(F.broadcast(there) if n <= _KEYS else there.hint("merge"), ["doc_id", "at"], "left")
+    return marked.withColumn("n", F.col("n") + F.coalesce("mark", F.lit(0))).drop("mark")
+
+
 def _without(rows: DataFrame, gone: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(gone) if n <= _KEYS else gone.hint("merge"), ["doc_id", "at"], "left_anti")
 
@@ -216,18 +242,18 @@ def _gone_at(rows: DataFrame, num: int, den: int, min_chars: int) -> DataFrame:
     copies, drop_copies = _later_copies(lines)
     # a table of its own: what is computed up to here is then the same plan for all who read it, so its shuffle is used again
     sets, drop_sets = written(_sets(_without(lines, copies, copies.count()), _sketch(rows), num, den))
-    light = _postings(sets, _ONCE, _LIGHT)
     heavy = _postings(sets, _LIGHT, 127)
     first = F.min(F.struct("doc_id", "at", "np", "par", "hi")).alias("c")
     heads = cut(heavy.groupBy("word").agg(first, F.count(F.lit(1)).alias("k")).where("k > 1").select("word", "k", "c"))
     met = join_groups(heavy, heads, "word", "k", heavy.count()).where("c is not null")
-    pairs, drop_pairs = written(_pairs(light, light, num, den).unionByName(_head_pairs(met, num, den)).distinct())
-    found = _matched(rows, pairs, num, den, min_chars)
+    pairs, drop_pairs = written(_head_pairs(_near_copies(sets), num, den).unionByName(_head_pairs(met, num, den)).distinct())
+    found = cut(_matched(rows, pairs, num, den, min_chars))
     drop_pairs()
 
-    # heavy words of the lines that are left, against all earlier lines
-    found = cut(found)
-    pairs, drop_pairs = written(_pairs(_without(heavy, found, found.count()), heavy, num, den).distinct())
+    # the lines that are left, against all earlier lines
+    n = found.count()
+    light = _postings(_settled(sets, found, n), _ONCE, _LIGHT)
+    pairs, drop_pairs = written(_pairs(light, light, num, den).unionByName(_pairs(_without(heavy, found, n), heavy, num, den)).distinct())
     more = _matched(rows, pairs, num, den, min_chars)
     drop_pairs()
     drop_sets()

@@ -515,6 +515,21 @@ def test_lines_with_heavy_words(spark, monkeypatch):
     assert got == brute_lines(rows)
 
 
+def test_groups_of_near_copies_do_not_yield_their_pairs(spark, monkeypatch):
+    """300 near copies of one line have 45 thousand pairs; the join makes a few for each line, and all copies but the first go."""
+    from quarrymill.llm import line_dedup as module
+
+    made = []
+    pairs = module._pairs
+    monkeypatch.setattr(module, "_pairs", lambda *a: made.append(module.cut(pairs(*a))) or made[-1])
+    rng = random.Random(17)
+    base = prose(rng, 60, 60)
+    rows = [edited(rng, base, 0.02) for _ in range(300)] + [prose(rng, 30, 60) for _ in range(50)]
+    got = {(r["doc_id"], r["line_no"]) for r in repeated_lines(spark.createDataFrame([(i * 3, t) for i, t in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+    assert len(got) > 280 and sum(x.count() for x in made) < 10 * len(rows)
+
+
 @pytest.mark.parametrize("name", ["op8_line_dedup", "op9_exact_dedup", "op10_ngram_join"])
 def test_queries_same_as_sql(spark, name):
     import duckdb
