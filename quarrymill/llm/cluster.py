@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.parquet(path), drop
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that nothing refers to now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

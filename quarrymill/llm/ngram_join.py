@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.cluster import cut, join_groups, semi_by_key, width
+from quarrymill.llm.cluster import cut, free_shuffles, join_groups, semi_by_key, width
 from quarrymill.llm.components import connected_components
 from quarrymill.llm.exact_dedup import LOWER, UPPER
 from quarrymill.llm.words import Words, mix, signed, slices
@@ -405,6 +405,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tupl
     parts = max(width(spark), -(-shingles // (4 * _BUCKET)))
     near = _edges_of_tokens(_postings(read, k, ranks, SKETCH_BITS, num, den, 4 * parts).repartition(parts, "bucket"))
     groups = cut(connected_components(near).withColumnRenamed("node", "name").withColumnRenamed("label", "comp"))
+    del near
+    free_shuffles(spark)  # the postings, before the blocks are dealt
 
     member = classes.withColumn("name", _name("class")).join(groups.hint("merge"), "name").drop("name")
     mass = member.groupBy("comp").agg(F.sum("n").alias("m"))
@@ -422,6 +424,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tupl
         "comp", "class", "set", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side")
     )
     links = cut(_verify(pairs, num, den))
+    free_shuffles(spark)
     forest = links.where("kind = 0").select("u", "v")
     counted = links.where("kind = 1").groupBy(F.col("u").alias("class")).agg(F.sum("v").alias("n_links"))
     comps = connected_components(forest).withColumnRenamed("node", "class").withColumnRenamed("label", "root")
