@@ -19,6 +19,8 @@ N_FEATURES = 12 + len(_MARKS) * 2
 MAX_TRAIN = 20_000
 #: Preferred texts that each rejected text is set against, and the other way round.
 PAIRS_PER_ROW = 8
+#: Pairs whose differences the driver holds at once, 5 MB.
+_BLOCK = 8192
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -85,18 +87,29 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.a * self.raw(x) + self.b, -500, 500)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Logistic regression with a ridge; the step is halved until the loss falls."""
+def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 40) -> np.ndarray:
+    """Logistic regression with a ridge; the step is halved until the loss falls.
+
+    With ``pairs`` (i, j) its rows are x[i] - x[j], of which only a block is laid out at a time.
+    """
     w = np.zeros(x.shape[1])
 
+    def times(v):
+        s = x @ v
+        return s if pairs is None else s[pairs[0]] - s[pairs[1]]
+
     def loss(v):
-        return np.logaddexp(0, -y * (x @ v)).sum() + 0.5 * (ridge * v * v).sum()
+        return np.logaddexp(0, -y * times(v)).sum() + 0.5 * (ridge * v * v).sum()
 
     now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(y * (x @ w), -500, 500)))
-        grad = -(x * (y * p)[:, None]).sum(0) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        p = 1 / (1 + np.exp(np.clip(y * times(w), -500, 500)))
+        grad, hess = ridge * w, np.diag(ridge + 1e-9)
+        for k in range(0, len(y), _BLOCK):
+            at = slice(k, k + _BLOCK)
+            d = x[at] if pairs is None else x[pairs[0][at]] - x[pairs[1][at]]
+            grad -= d.T @ (y[at] * p[at])
+            hess += (d * (p[at] * (1 - p[at]))[:, None]).T @ d
         step = np.linalg.solve(hess, grad)
         t = 1.0
         while t > 1e-6 and (then := loss(w - t * step)) > now:
@@ -122,9 +135,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, ri
     rng = np.random.default_rng(seed)
     i = np.concatenate([np.repeat(good, pairs_per_row), rng.choice(good, len(bad) * pairs_per_row)])
     j = np.concatenate([rng.choice(bad, len(good) * pairs_per_row), np.repeat(bad, pairs_per_row)])
-    w = np.zeros(N_FEATURES)
-    diff = z[i] - z[j]
-    w = _newton(diff, np.ones(len(diff)), np.full(N_FEATURES, ridge))
+    w = _newton(z, np.ones(len(i)), np.full(N_FEATURES, ridge), (i, j))
     s = z @ w
     # for probabilities, the scores are fitted to the labels themselves
     ab = _newton(np.stack([s, np.ones(len(s))], 1), np.where(label == 1, 1.0, -1.0), np.array([1e-3, 1e-6]))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import gru_lm, license_scan, line_blocks, raking, rank_profiles
+from quarrymill.llm import bradley_terry, gru_lm, license_scan, line_blocks, raking, rank_profiles
 from quarrymill.llm.bradley_terry import keep_good, quality_classifier
 from quarrymill.llm.cluster import join_groups
 from quarrymill.llm.components import connected_components
@@ -258,6 +259,25 @@ def test_quality(spark, empty):
     assert 0 < rejected <= 302 * 0.3
 
 
+def test_preference_pairs_are_not_held_at_once():
+    """Differences of pairs are laid out by blocks: the peak follows the rows, not the pairs; the weights stand at the minimum over all pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, bradley_terry.N_FEATURES))
+    label = (x[:, 0] + rng.standard_normal(4000) > 0).astype(int)
+    tracemalloc.start()
+    ranker = bradley_terry.fit(x, label)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * x.nbytes
+    z = np.clip((x - ranker.mean) / ranker.scale, -6, 6)
+    good, bad, again = np.flatnonzero(label == 1), np.flatnonzero(label == 0), np.random.default_rng(7)
+    i = np.concatenate([np.repeat(good, 8), again.choice(good, len(bad) * 8)])
+    j = np.concatenate([again.choice(bad, len(good) * 8), np.repeat(bad, 8)])
+    diff = z[i] - z[j]
+    grad = ranker.weights - diff.T @ (1 / (1 + np.exp(diff @ ranker.weights)))
+    assert np.abs(grad).max() < 0.1
+
+
 def test_language_id(spark, empty):
     rng = random.Random(6)
     alphabets = {"aa": "abcdeé", "bb": "xyzuvw", "cc": "абвгд"}
