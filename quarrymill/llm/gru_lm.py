@@ -1,8 +1,8 @@
 """LM scoring with a gated recurrent network: truncated backpropagation in numpy, class-factored softmax.
 
 Counts of all training tokens come from the whole corpus. Their most frequent words form the network's vocabulary,
-in classes by frequency; every other token belongs to a class by the shape of its end, and within it to its share
-of the class's counts (one unseen word in each included). So every token has a probability, whatever it is.
+in classes by frequency; every other token belongs to one more class, in it to the shape of its end, and within that to
+its share of the shape's counts (one unseen word in each included). So every token has a probability, whatever it is.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def _count(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Network:
-    """Weights: input table, recurrence, class softmax, softmax within classes."""
+    """Weights: input table, recurrence, class softmax (the last class: tokens outside the vocabulary), softmax within classes, softmax of shapes."""
 
     seed: int = 11
     p: dict[str, np.ndarray] = field(default_factory=dict)
@@ -102,8 +102,9 @@ class Network:
         normal = lambda *s, by=0.1: (rng.standard_normal(s) * by).astype(np.float32)
         self.p = {
             "x": normal(VOCABULARY + _SHAPES, 3 * HIDDEN, by=0.3), "u": normal(HIDDEN, 3 * HIDDEN, by=0.2), "b": np.zeros(HIDDEN, np.float32),
-            "wc": normal(HIDDEN, CLASSES + _SHAPES), "bc": np.zeros(CLASSES + _SHAPES, np.float32),
+            "wc": normal(HIDDEN, CLASSES + 1), "bc": np.zeros(CLASSES + 1, np.float32),
             "wv": normal(CLASSES, HIDDEN, PER_CLASS), "bv": np.zeros((CLASSES, PER_CLASS), np.float32),
+            "ws": normal(HIDDEN, _SHAPES), "bs": np.zeros(_SHAPES, np.float32),
         }
 
     def start_from(self, counts: np.ndarray, shape_mass: np.ndarray) -> None:
@@ -111,8 +112,10 @@ class Network:
         mass = np.zeros(VOCABULARY)
         mass[: len(counts)] = counts
         by_class = mass.reshape(CLASSES, PER_CLASS)
-        self.p["bc"][:] = np.log(np.concatenate([by_class.sum(1), shape_mass]) + 0.5)
+        self.p["bc"][:] = np.log(np.append(by_class.sum(1), shape_mass.sum()) + 0.5)
         self.p["bc"] -= self.p["bc"].max()
+        self.p["bs"][:] = np.log(shape_mass + 0.5)
+        self.p["bs"] -= self.p["bs"].max()
         self.p["bv"][:] = np.where(by_class > 0, np.log(by_class + 1e-9), -30.0)
         self.p["bv"] -= self.p["bv"].max(1, keepdims=True)
 
@@ -171,11 +174,11 @@ class Network:
         return flat
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
-        """Natural log-probabilities of targets (class, and word within it if it is one); gradients go to ``grads``."""
-        cls = np.where(target < VOCABULARY, target // PER_CLASS, target - VOCABULARY + CLASSES)
+        """Natural log-probabilities of targets (class, and word or shape within it); gradients go to ``grads``."""
+        cls = np.minimum(target // PER_CLASS, CLASSES).astype(np.int16)
         order = np.argsort(cls, kind="stable")  # by class, so those of each stand together
         h, cls, target = np.take(h, order, axis=0), cls[order], target[order]
-        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1, dtype=np.int16))
         there = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
         def softmax(a: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -198,16 +201,23 @@ class Network:
         for c, at in there:
             b[at] += h[at] @ self.p["wv"][c]
         lp[:words] += softmax(b, target[:words] % PER_CLASS)
+        o = h[words:] @ self.p["ws"]
+        o += self.p["bs"]
+        lp[words:] += softmax(o, target[words:] - VOCABULARY)
         out = np.empty_like(lp)
         out[order] = lp
         if grads is None:
             return out, None
         grads["wc"], grads["bc"] = h.T @ a, a.sum(0)
+        grads["ws"], grads["bs"] = h[words:].T @ o, o.sum(0)
         grads["wv"], grads["bv"] = np.zeros_like(self.p["wv"]), np.zeros_like(self.p["bv"])
         d = a @ self.p["wc"].T
+        d[words:] += o @ self.p["ws"].T
         for c, at in there:
-            grads["wv"][c], grads["bv"][c] = h[at].T @ b[at], b[at].sum(0)
+            grads["wv"][c] = h[at].T @ b[at]
             d[at] += b[at] @ self.p["wv"][c].T
+        if there:
+            grads["bv"][[c for c, _ in there]] = np.add.reduceat(b, [at.start for _, at in there])
         dh = np.empty_like(d)
         dh[order] = d
         return out, dh
@@ -303,7 +313,7 @@ class Trainer:
             lp, dout = self.net.output(states, target[at], grads)
             total += lp.sum()
             dx = self.net.back(kept, begin[at], live, dout, grads)
-            order = np.argsort(given[at], kind="stable")
+            order = np.argsort(given[at].astype(np.int16), kind="stable")
             self.rows, first = np.unique(given[at][order], return_index=True)
             inputs[self.rows] = np.add.reduceat(np.take(dx, order, axis=0), first)
             grads["x"] = inputs
@@ -321,9 +331,12 @@ class Trainer:
             own = (self.rows,) if k == "x" else (slice(None),)
             m, v = self.m[k][own], self.v[k][own]
             g *= np.float32(scale)
-            m += np.float32(0.1) * (g - m)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
             np.square(g, out=g)
-            v += np.float32(0.005) * (g - v)
+            g *= np.float32(0.005)
+            v *= np.float32(0.995)
+            v += g
             if k == "x":
                 self.m[k][own], self.v[k][own] = m, v
             np.multiply(v, by, out=g)
@@ -347,8 +360,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
         return at, self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
 
-    def ids(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        at, ok = self.find(h)
+    def ids(self, h: np.ndarray, shape: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        at, ok = self.find(h) if found is None else found
         place = np.where(ok, self.place[at] if len(self.place) else -1, -1)
         return np.where(place >= 0, place, VOCABULARY + shape).astype(np.int32)
 
@@ -493,7 +506,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         model, own = shared.value
         for parts, h, s, b in _gathered(batches, 1 << 23):
             at, ok = own.find(h)
-            ids = own.ids(h, s)
+            ids = own.ids(h, s, (at, ok))
             text = np.repeat(np.arange(len(b) - 1), np.diff(b))
             logs = np.where(ok, np.log10(own.counts[at] + 0.5), 0.0) if len(own.counts) else np.zeros(len(h))
             outside = ids >= VOCABULARY

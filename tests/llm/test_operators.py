@@ -425,6 +425,26 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(net.output(np.repeat(h, n, 0), np.arange(n))[0]).sum() - 1) < 1e-3
 
 
+def test_shapes_are_told_apart_in_a_class_of_their_own():
+    """The class softmax has one place for all tokens outside the vocabulary; gradients of shapes hold against finite differences."""
+    net = gru_lm.Network(seed=6)
+    assert net.p["wc"].shape == (gru_lm.HIDDEN, gru_lm.CLASSES + 1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    h = np.random.default_rng(1).standard_normal((6, gru_lm.HIDDEN))
+    target = np.array([gru_lm.VOCABULARY + 90, 0, gru_lm.VOCABULARY - 1, gru_lm.VOCABULARY, 70, gru_lm.VOCABULARY + 90])
+    grads = {}
+    dh = net.output(h, target, grads)[1]
+    for name, at in (("ws", (4, 90)), ("bs", (3,)), ("bv", (1, 6)), ("bv", (63, 63)), ("wv", (0, 2, 0)), ("wc", (5, gru_lm.CLASSES))):
+        net.p[name][at] += 1e-4
+        up = net.output(h, target)[0].sum()
+        net.p[name][at] -= 2e-4
+        down = net.output(h, target)[0].sum()
+        net.p[name][at] += 1e-4
+        assert abs((down - up) / 2e-4 - grads[name][at]) < 1e-5, name
+    up, down = (net.output(h + e * (np.arange(6) == 5)[:, None] * (np.arange(gru_lm.HIDDEN) == 7), target)[0].sum() for e in (1e-4, -1e-4))
+    assert abs((down - up) / 2e-4 - dh[5, 7]) < 1e-5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 200), (50, 49)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
