@@ -12,7 +12,8 @@ line (by document id, then place) matches it.
    prefix words. So groups of near copies do not yield their pairs.
 4. Lines that find no match so are compared with all earlier lines of their prefix words. Light words are joined as they
    are: one shuffle, read by both sides, with the length, positional and parity filters inside the join; settled lines
-   carry a mark there and yield no pairs, while others still meet them.
+   carry a mark there and yield no pairs, while others still meet them. By heavy words they first meet one in ``SHARE``
+   of all lines; a line of many partners is settled there by one of them, and only the others meet the rest.
 5. Candidates are verified on the words themselves: the likeliest partner of each line first, the others for those
    lines alone that it did not settle.
 
@@ -37,6 +38,8 @@ SKETCH = 1 << 20
 _SLICE = 1 << 10
 #: Lines that a light word has at most (the largest count of its rank).
 LIGHT = 1448
+#: One line in so many, by a hash, that lines with heavy words are compared with before the rest.
+SHARE = 16
 #: Lines of so many words carry a parity map of 128 bits instead of 64.
 LONG = 64
 #: Keys of two longs that may be broadcast, some 50 MB; rows that one line text may be joined with in one task.
@@ -253,17 +256,19 @@ def _gone_at(rows: DataFrame, num: int, den: int, min_chars: int) -> DataFrame:
     # the lines that are left, against all earlier lines
     n = found.count()
     light = _postings(_settled(sets, found, n), _ONCE, _LIGHT)
-    pairs, drop_pairs = written(_pairs(light, light, num, den).unionByName(_pairs(_without(heavy, found, n), heavy, num, den)).distinct())
-    more = _matched(rows, pairs, num, den, min_chars)
+    left, first_met = _without(heavy, found, n), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SHARE)) == 0
+    pairs, drop_pairs = written(_pairs(light, light, num, den).unionByName(_pairs(left, heavy.where(first_met), num, den)).distinct())
+    more = cut(_matched(rows, pairs, num, den, min_chars))
+    drop_pairs()
+    pairs, drop_pairs = written(_pairs(_without(left, more, more.count()), heavy.where(~first_met), num, den).distinct())
+    last = _matched(rows, pairs, num, den, min_chars)
     drop_pairs()
     drop_sets()
-    gone = cut(copies.unionByName(found).unionByName(more).distinct())
+    gone = cut(copies.unionByName(found).unionByName(more).unionByName(last).distinct())
     drop_copies()
     return gone
 
 
-
-
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (NUM, DEN), min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no) of the lines that an earlier line matches.
 

@@ -570,6 +570,23 @@ def test_groups_of_near_copies_do_not_yield_their_pairs(spark, monkeypatch):
     assert len(got) > 280 and sum(x.count() for x in made) < 10 * len(rows)
 
 
+def test_lines_of_many_partners_do_not_meet_them_all(spark, monkeypatch):
+    """Near copies that the first step leaves unsettled: a share of the lines settles most of them, and only the others meet the rest."""
+    from quarrymill.llm import line_dedup as module
+
+    made = []
+    pairs, heads = module._pairs, module._head_pairs
+    monkeypatch.setattr(module, "_LIGHT", 4)
+    monkeypatch.setattr(module, "_head_pairs", lambda met, *a: heads(met, *a).where("doc_id is null"))
+    monkeypatch.setattr(module, "_pairs", lambda *a: made.append(module.cut(pairs(*a))) or made[-1])
+    rng = random.Random(21)
+    base = prose(rng, 60, 400)
+    rows = [edited(rng, base, 0.03) for _ in range(200)]
+    got = {(r["doc_id"], r["line_no"]) for r in repeated_lines(spark.createDataFrame([(i * 3, t) for i, t in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+    assert len(got) > 150 and sum(x.count() for x in made) < 300 * len(rows)
+
+
 @pytest.mark.parametrize("name", ["op8_line_dedup", "op9_exact_dedup", "op10_ngram_join"])
 def test_queries_same_as_sql(spark, name):
     import duckdb
